@@ -11,6 +11,7 @@ length; repeated rows are rows of their own; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that splits text before byte-level merges.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Entries of a worker's memo of merged pre-tokens, emptied when full; symbols merged in one flat array.
-MEMO, FLAT = 400_000, 1 << 20
+MEMO, FLAT = 600_000, 1 << 20
+#: Texts whose new pre-tokens are merged together.
+TOGETHER = 512
 NO_RANK = np.int64(1 << 40)
 
 
@@ -117,26 +120,29 @@ class Encoder:
             self.memo = {}
         memo, out = self.memo, []
         memo |= {s: int(i).to_bytes(4, "little") for s, i in self.bpe.added.items()}
-        for text in texts:
-            parts = self._parts(text) if text else []
-            try:
-                out.append(b"".join(map(memo.__getitem__, parts)))
-            except KeyError:
-                fresh = [p for p in dict.fromkeys(parts) if p not in memo]
-                memo |= zip(fresh, (x.tobytes() for x in self.bpe.merge([p.encode() for p in fresh])))
-                out.append(b"".join(map(memo.__getitem__, parts)))
+        for i in range(0, len(texts), TOGETHER):
+            parts = [self._parts(text) if text else [] for text in texts[i : i + TOGETHER]]
+            fresh = [p for p in set().union(*parts) if p not in memo]
+            memo |= zip(fresh, (x.tobytes() for x in self.bpe.merge([p.encode() for p in fresh])))
+            out += [b"".join([memo[p] for p in x]) for x in parts]
         return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bpe.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker, whose memo outlives a task."""
+    return Encoder(path)
+
+
 def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """id, ids (array of ints), n_tokens, ids_sha256, decoded_sha256 of every row; ``keep`` False leaves the ids out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in batches:
+        encoder = worker_encoder(path)
+        for batch in (whole.slice(i, 2 * TOGETHER) for whole in batches for i in range(0, whole.num_rows, 2 * TOGETHER)):
             encoded = encoder.encode(batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array([len(x) // 4 for x in encoded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in encoded]), pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in encoded])]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in encoded], pa.list_(pa.int32()))] * keep, names)
@@ -150,7 +156,7 @@ def decode_table(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col:
     """id and text of every row of ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()])], ["id", "text"])
 

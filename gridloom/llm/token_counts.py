@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Entries of a worker's memo of merged pre-tokens; it is emptied when full.
-MEMO = 500_000
+MEMO = 800_000
+#: Texts whose new pre-tokens are merged together.
+TOGETHER = 512
+RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 def prove(model_path: str) -> tuple[frozenset[str], str]:
@@ -49,41 +52,50 @@ class Counter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.whole, self.memo, self.inside = whole, dict.fromkeys(whole, 1), set(inside)
+        self.whole, self.memo = whole, dict.fromkeys(whole, 1)
+        self.barrier = "\n" not in inside  # a line break is in no longer piece and costs its one byte
 
-    def merge(self, words: list[str]) -> None:
-        """Put the counts of ``words`` (each SPACE and what follows to the next space) in the memo."""
+    def parts(self, text: str | None) -> tuple[int, list[str]]:
+        """Tokens known without a look, and the text's pre-tokens. One that starts with a line break stands
+        for what follows a line break without a space."""
+        if not text:
+            return 0, []
+        text = SPACE + text.replace(" ", SPACE)
+        lines = text.split("\n") if self.barrier else [text]
+        out: list[str] = []
+        for i, line in enumerate(lines):
+            if i and line and line[0] != SPACE:
+                first, _, line = line.partition(SPACE)
+                out.append("\n" + first)
+                line = _ and SPACE + line
+            if not line:
+                continue
+            out += RUNS.findall(line) if SPACE * 2 in line else [SPACE + w for w in line.split(SPACE)[1:]]
+        return len(lines) - 1, out
+
+    def count(self, texts: list[str | None]) -> list[int]:
         if len(self.memo) > MEMO + len(self.whole):
             self.memo = dict.fromkeys(self.whole, 1)
-        for word, ids in zip(words, self.model.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)):
-            self.memo[word] = len(ids)
+        memo, out = self.memo, []
+        for i in range(0, len(texts), TOGETHER):
+            split = [self.parts(t) for t in texts[i : i + TOGETHER]]
+            fresh = [w for w in set().union(*(x for _, x in split)) if w not in memo]
+            # The library puts a space mark before a text; before a line break it is a token, and so is the break.
+            asked = [w if w[0] == "\n" else w[1:].replace(SPACE, " ") for w in fresh]
+            memo |= zip(fresh, (len(ids) - 2 * (w[0] == "\n") for w, ids in zip(fresh, self.model.encode(asked, num_threads=1))))
+            out += [n + sum([memo[w] for w in x]) for n, x in split]
+        return out
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        text = SPACE + text.replace(" ", SPACE)
-        # "\n" is in no piece: the parts of a line break are counted apart, it costs its one byte.
-        if "\n" in text and "\n" not in self.inside:
-            lines = text.split("\n")
-            return self.words(lines[0]) + len(lines) - 1 + sum(self.words(SPACE + x, True) if x[:1] != SPACE else self.words(x) for x in lines[1:] if x)
-        return self.words(text)
-
-    def words(self, text: str, inner: bool = False) -> int:
-        """Tokens of a text that starts with SPACE; ``inner``: less that of a SPACE that isn't there."""
-        words = re.findall(f"{SPACE}+[^{SPACE}]*", text) if SPACE * 2 in text else [SPACE + w for w in text.split(SPACE)[1:]]
-        first = 0
-        if inner:
-            # A barrier before the first word keeps it apart from the space mark that the library puts before a text.
-            word = "\n" + words[0][1:]
-            if (first := self.memo.get(word, -1)) < 0:
-                first = self.memo[word] = len(self.model.encode(word)) - 2
-            words = words[1:]
-        try:
-            return first + sum(map(self.memo.__getitem__, words))
-        except KeyError:
-            self.merge([w for w in dict.fromkeys(words) if w not in self.memo])
-            memo = self.memo
-            return first + sum(memo[w] if w in memo else len(self.model.encode(w[1:].replace(SPACE, " "))) for w in words)
+
+_counters: dict[str, Counter] = {}
+
+
+def worker_counter(model_path: str, whole: frozenset[str], inside: str) -> Counter:
+    """The counter of this worker, whose memo outlives a task."""
+    if model_path not in _counters:
+        _counters.clear()
+        _counters[model_path] = Counter(model_path, whole, inside)
+    return _counters[model_path]
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,10 +104,10 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int, id_col: str = "do
     proved = docs.sparkSession.sparkContext.broadcast((whole, inside))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model_path, *proved.value)
-        for batch in batches:
+        counter = worker_counter(model_path, *proved.value)
+        for batch in (whole.slice(i, 2 * TOGETHER) for whole in batches for i in range(0, whole.num_rows, 2 * TOGETHER)):
             texts = batch.column(1).to_pylist()
-            n = [counter.count(t) for t in texts]
+            n = counter.count(texts)
             size = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
