@@ -16,6 +16,7 @@ rows are documents of their own; an empty table has no pieces; other columns are
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 import zlib
@@ -29,43 +30,73 @@ from pyspark.sql import DataFrame
 #: Context sizes, the longest first; tokens of a step group; rests that a task holds before it packs them.
 TIERS, STEP_TOKENS, PENDING = (4096, 2048, 1024, 512, 256), 65_536, 4096
 #: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 400_000
+MEMO = 800_000
 #: Python splits at these, the tokenizer's \s does not.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
+#: Fixed value: the tokenizer's pattern, as it reads on lower-case printable ASCII.
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordEncoder:
-    """Ids of whole texts under a tokenizer that drops white space, one call for each distinct word.
+    """Ids of whole texts under a tokenizer that drops white space; each distinct word is encoded once.
 
     The tokenizer's normaliser and splits never look past white space, so a text's ids are those of
-    its words in a row; texts with characters that Python alone takes for white space are encoded whole.
+    its words in a row; texts with characters that Python alone takes for white space, and words that
+    may hold an added token, go to the tokenizer as they are. Other words are split into pre-tokens,
+    by the tokenizer itself or, if plain ASCII, by the same pattern, and its model encodes each distinct one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if "<|" in word:
+            return self._whole(word)
+        parts = ASCII_PARTS.findall(word.lower()) if word.isascii() and word.isprintable() else [p for p, _ in self.split(self.normalize(word))]
+        known = self.parts
+        try:
+            return b"".join([known[p] for p in parts])
+        except KeyError:
+            for p in parts:
+                if p not in known:
+                    known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(p)])
+            return b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo, out = self.memo, []
+        if len(self.words) > MEMO:
+            self.words = {}
+        if len(self.parts) > MEMO:
+            self.parts = {}
+        memo, out = self.words, []
         for text in texts:
             if text and ODD_SPACES.search(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(self._whole(text))
                 continue
             words = text.split() if text else []
             try:
-                out.append(b"".join(map(memo.__getitem__, words)))
+                out.append(b"".join([memo[w] for w in words]))
             except KeyError:
-                fresh = [w for w in dict.fromkeys(words) if w not in memo]
-                memo |= zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)))
-                out.append(b"".join(map(memo.__getitem__, words)))
+                for w in words:
+                    if w not in memo:
+                        memo[w] = self._word(w)
+                out.append(b"".join([memo[w] for w in words]))
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker, whose memo outlives a task."""
+    return WordEncoder(path)
+
+
 class Packer:
     """Packs documents one by one; finished pieces are taken with ``take``."""
 
@@ -157,7 +188,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "d
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, id_type = WordEncoder(tokenizer_path), Packer(TaskContext.get().partitionId(), tiers), None
+        encoder, packer, id_type = word_encoder(tokenizer_path), Packer(TaskContext.get().partitionId(), tiers), None
 
         def rows(last: bool) -> Iterator[pa.RecordBatch]:
             if taken := packer.take(last):
