@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, minhash, packing, secrets, sharding, token_counts, topk
+from gridloom.llm import audio, bpe, language_model, minhash, packing, secrets, sharding, token_counts, topk, toxicity
 from gridloom.llm.base import table
 
 
@@ -17,6 +17,10 @@ def op1_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, Fraction(85, 100)).drop("class_id")
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -34,6 +38,16 @@ def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    media = docs.select("doc_id", audio.recordings_of(docs).alias("media"))
+    return audio.fingerprint_and_align(media, lambda i: i % 100 == 0, "doc_id", "media")
+
+
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.KatzModel(table(spark, sf_dir, "documents")).score()
+
+
 def op9_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=False)
 
@@ -44,10 +58,13 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_circulant_minhash": op1_circulant_minhash,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_segment_topk": op5_segment_topk,
     "op6_whole_token_counts": op6_whole_token_counts,
+    "op7_chroma_fingerprints": op7_chroma_fingerprints,
+    "op8_katz_scores": op8_katz_scores,
     "op9_batched_bpe": op9_batched_bpe,
     "op10_tiered_packing": op10_tiered_packing,
 }
