@@ -32,6 +32,8 @@ ASSIGN = re.compile(rf"""({_either_case})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are greedy, so a run of 24 or more is the same match as one of any length
 LEAST_VALUE, LEAST_ACCESS = 6, 20
+#: Up to so many blobs with findings, they are broadcast to be redacted; beyond, texts are shuffled to them.
+BROADCAST_BLOBS = 100_000
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -90,15 +92,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ledger.scan(docs, id_col, text_col).select(id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.lower(F.hex("blob")).alias("blob"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", ledger_path: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", ledger_path: str | None = None) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]`` and the character count set anew where that changed.
 
     Rows without findings are as they were; no row is dropped.
     """
     columns = docs.columns
     ledger = BlobLedger(docs.sparkSession, ledger_path or new_table(docs.sparkSession, "ledger"))
-    first = columns[0]
-    ledger.scan(docs, first, text_col)
+    ledger.scan(docs, id_col, text_col)
     found = ledger.rows().where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
 
     @F.pandas_udf("string")
@@ -106,6 +107,8 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars",
         return texts.combine(spans, lambda t, s: t if not s else _cut(t, s))
 
     keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    if found.count() <= BROADCAST_BLOBS:
+        found = F.broadcast(found)
     joined = keyed.join(found, "_blob", "left")
     changed = F.col("_spans").isNotNull()
     new = F.when(changed, without(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
