@@ -6,7 +6,8 @@ equal shingle sets form a class; only one document of a class goes on. Classes t
 are candidates. Their full sets are compared in rounds: first each class with the leader of one of
 its bands, then, between components not yet joined, with other leaders, and at last every pair that
 shares a band, lies in different components and is not ruled out by set sizes or a
-sketch of one bit a coordinate (at six standard deviations). As links inside a component change nothing,
+sketch of one bit a coordinate (at DEVIATIONS standard deviations): buckets are dealt in blocks, which are
+compared inside a task without emitting their pairs. As links inside a component change nothing,
 the components are those of all linked candidates, without all pairs of a group of copies.
 
 Number and length of bands follow from the threshold, so that a pair at the threshold shares no band
@@ -27,15 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, written
-from gridloom.llm.components import components
+from gridloom.llm.base import cut, release, written
+from gridloom.llm.components import joined
 
 #: Chance that a pair at the threshold shares no band; most coordinates; bits of the sketch; standard deviations it may be off.
-MISS, COORDINATES, SKETCH_BITS, DEVIATIONS = 1e-7, 224, 192, 6
+MISS, COORDINATES, SKETCH_BITS, DEVIATIONS = 1e-6, 352, 384, 4.75
 #: Entries of a worker's memo of word hashes, emptied when full; shingles hashed in one flat array.
 MEMO, FLAT = 1_000_000, 1 << 16
-#: Rounds with leaders before all remaining pairs, and how many pairs per member are few enough to go over to them.
-LEADER_ROUNDS, FEW_PAIRS = 6, 4
+#: Rounds with leaders before all remaining pairs; members of a block of a bucket.
+LEADER_ROUNDS, BLOCK = 2, 512
+LONGS = SKETCH_BITS // 64
+#: Up to so many ids of candidates, their texts are picked by a broadcast of the ids; beyond, by a shuffle.
+BROADCAST_IDS = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,12 +67,10 @@ def _sigma(x: np.ndarray) -> np.ndarray:
 
 def _pi(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
     """Another one, in place."""
-    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
-        np.right_shift(x, np.uint32(shift), out=spare)
-        np.bitwise_xor(x, spare, out=x)
-        np.multiply(x, np.uint32(factor), out=x)
-    np.right_shift(x, np.uint32(16), out=spare)
-    return np.bitwise_xor(x, spare, out=x)
+    np.multiply(x, np.uint32(0x7FEB352D), out=x)
+    np.right_shift(x, np.uint32(15), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+    return np.multiply(x, np.uint32(0x846CA68B), out=x)
 
 
 class Shingler:
@@ -133,7 +135,8 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-SIGNED = "id long, n_shingles long, digest binary, bands array<long>, s0 long, s1 long, s2 long"
+SKETCH = [f"s{i}" for i in range(LONGS)]
+SIGNED = "id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def _sign(k: int, bands: int, rows: int):
@@ -144,13 +147,13 @@ def _sign(k: int, bands: int, rows: int):
                 batch = whole.slice(i, 512)
                 sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
                 full = [j for j, s in enumerate(sets) if len(s)]
-                keys, bits = [None] * len(sets), np.zeros((len(sets), 3), np.int64)
+                keys, bits = [None] * len(sets), np.zeros((len(sets), LONGS), np.int64)
                 if full:
                     signature = signatures([sets[j] for j in full], bands * rows)
                     for j, row in zip(full, band_keys(signature, bands, rows)):
                         keys[j] = row
                     bits[full] = sketch(signature)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), pa.array(keys, pa.list_(pa.int64())), *(pa.array(bits[:, c]) for c in range(3))], [c.split()[0] for c in SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), pa.array(keys, pa.list_(pa.int64())), *(pa.array(bits[:, c]) for c in range(LONGS))], [c.split()[0] for c in SIGNED.split(", ")])
 
     return run
 
@@ -166,19 +169,20 @@ def _sets(k: int):
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return threshold.denominator * common >= threshold.numerator * (len(both) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
-    up, down = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(down * common >= up * (len(both) - common))
+            linked = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), threshold) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
     left = sets.select(F.col("id").alias("u"), F.col("members").alias("a"))
@@ -186,14 +190,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _most_differing(threshold: Fraction, coordinates: int) -> int:
+    """Bits of the sketch that may differ at the threshold, DEVIATIONS from the mean."""
+    n, equal = min(SKETCH_BITS, coordinates), (1 + float(threshold)) / 2
+    return math.floor(n * (1 - equal) + DEVIATIONS * math.sqrt(n * equal * (1 - equal))) + 1
+
+
 def _possible(a: str, b: str, threshold: Fraction, coordinates: int):
     """Whether sizes and sketches leave a pair possible (sizes exactly; sketches at DEVIATIONS)."""
-    t, n = float(threshold), min(SKETCH_BITS, coordinates)
-    equal = (1 + t) / 2
-    most = math.floor(n * (1 - equal) + DEVIATIONS * math.sqrt(n * equal * (1 - equal))) + 1
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(3)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (small * threshold.denominator >= large * threshold.numerator) & (differ <= most)
+    return (small * threshold.denominator >= large * threshold.numerator) & (differ <= _most_differing(threshold, coordinates))
+
+
+def _blocks(open_members: DataFrame) -> DataFrame:
+    """key, one, other, id, comp: for every bucket, its members once for each pair of blocks that has to be compared.
+
+    A component of BLOCK members or more of a bucket has blocks of its own, the other members share some; two blocks of
+    one component aren't compared. Blocks are dealt by a hash, so no task has to hold a bucket.
+    """
+    counts = open_members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    small = counts.where(F.col("c") < BLOCK).groupBy("key").agg(F.sum("c").alias("few"))
+    sized = open_members.join(counts.where(F.col("c") >= BLOCK), ["key", "comp"], "left").join(small, "key", "left")
+    own = F.when(F.col("c").isNotNull(), F.col("comp"))
+    parts = F.ceil(F.coalesce("c", "few") / BLOCK)
+    dealt = sized.select("key", "id", "comp", F.struct(own.alias("big"), F.pmod(F.xxhash64("id"), parts).alias("part")).alias("block"))
+    blocks = dealt.select("key", "block").distinct()
+    pairs = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "other"), "key")
+    pairs = pairs.where((F.col("one") <= F.col("other")) & (F.col("one.big").isNull() | ~F.col("one.big").eqNullSafe(F.col("other.big"))))
+    columns = ["key", "one", "other", "id", "comp", "left"]
+    first = dealt.withColumnRenamed("block", "one").join(pairs, ["key", "one"]).withColumn("left", F.lit(True)).select(columns)
+    second = dealt.withColumnRenamed("block", "other").join(pairs.where(F.col("one") != F.col("other")), ["key", "other"]).withColumn("left", F.lit(False)).select(columns)
+    return first.unionByName(second)
+
+
+def _compare(threshold: Fraction, coordinates: int):
+    """Links between members of a pair of blocks; a pair is looked at in the first bucket that it shares."""
+    most = _most_differing(threshold, coordinates)
+    up, down = threshold.numerator, threshold.denominator
+
+    def pairs_of(key: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        ids, comps, left, sizes, bands, members = zip(*(r[:6] for r in rows))
+        bits = np.array([r[6:] for r in rows], np.int64).view(np.uint64)
+        comps, left, sizes = np.array(comps), np.array(left), np.array(sizes)
+        whole = left.all()
+        for i in np.flatnonzero(left):
+            rest = np.arange(i + 1, len(rows)) if whole else np.flatnonzero(~left)
+            rest = rest[comps[rest] != comps[i]]
+            rest = rest[down * np.minimum(sizes[rest], sizes[i]) >= up * np.maximum(sizes[rest], sizes[i])]
+            rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= most]
+            for j in rest:
+                if min(set(bands[i]) & set(bands[j])) == key and _linked(np.frombuffer(members[i], np.uint64), np.frombuffer(members[j], np.uint64), threshold):
+                    yield max(ids[i], ids[j]), min(ids[i], ids[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for key, one, other, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                now = (key, one["big"], one["part"], other["big"], other["part"])
+                if now != group:
+                    if len(rows) > 1:
+                        found += pairs_of(group[0], rows)
+                    group, rows = now, []
+                rows.append(tuple(row))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+        if len(rows) > 1 and (found := [*pairs_of(group[0], rows)]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,46 +269,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     signed = written(texts.mapInArrow(_sign(k, bands, rows), SIGNED), "minhash")
     ids = signed.select("id", "n_shingles", "digest")
     reps = ids.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("digest").agg(F.min("id").alias("id"))
-    classes = signed.join(reps.hint("shuffle_hash"), ["digest", "id"], "left_semi").dropDuplicates(["id"])
-    keyed = cut(classes.select("id", F.col("n_shingles").alias("n"), "s0", "s1", "s2", F.explode("bands").alias("key")))
+    classes = signed.join(reps.hint("shuffle_hash"), ["digest", "id"], "left_semi")
+    keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = cut(keyed.join(shared, "key"))
-    needed = members.select("id").distinct()
-    sets = written(texts.join(needed.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, members binary"), "shingle-sets")
-
-    links = None
-    label = members.select("id").distinct().select("id", F.col("id").alias("comp"))
-    open_members = members.withColumn("comp", F.col("id"))
+    members = cut(keyed.join(shared, "key").distinct())
+    needed = cut(members.select("id").distinct())
+    few = needed.count() <= BROADCAST_IDS
+    pick = F.broadcast(needed) if few else needed.hint("shuffle_hash")
+    sets = written(texts.join(pick, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, members binary"), "shingle-sets")
+    traits = cut(signed.select("id", F.col("n_shingles").alias("n"), "bands", *SKETCH).join(pick, "id", "left_semi").dropDuplicates(["id"]))
+    release(docs.sparkSession)
+
+    links, open_members = None, members.withColumn("comp", F.col("id"))
     for turn in range(LEADER_ROUNDS + 1):
         # Buckets that hold more than one component; the rest can't change anything.
-        spread = open_members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "s0", "s1", "s2", "comp")).alias("leader")).where("lo < hi").select("key", "leader")
+        spread = open_members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         open_members = cut(open_members.join(spread, "key"))
-        sizes = open_members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        total = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
-        if not total[0]:
-            break
-        last = turn == LEADER_ROUNDS or (turn > 0 and total[1] <= FEW_PAIRS * total[0])
-        if last:
-            a, b = open_members.drop("leader").alias("a"), open_members.drop("leader").alias("b")
-            near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") > F.col("b.comp")) & _possible("a", "b", threshold, bands * rows))
-            pairs = near.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+        if turn == LEADER_ROUNDS:
+            blocks = _blocks(open_members).join(sets, "id").join(traits, "id").select("key", "one", "other", "id", "comp", "left", "n", "bands", "members", *SKETCH)
+            parts = max(1, open_members.count() // 4096, docs.sparkSession.sparkContext.defaultParallelism)
+            found = blocks.repartition(parts, "key", "one", "other").sortWithinPartitions("key", "one", "other").mapInArrow(_compare(threshold, bands * rows), "u long, v long")
         else:
-            near = open_members.alias("a").where((F.col("a.comp") != F.col("a.leader.comp"))).select("a.*", F.col("leader.id").alias("other"), F.struct("leader.n", "leader.s0", "leader.s1", "leader.s2").alias("b"))
-            near = near.withColumn("a", F.struct("n", "s0", "s1", "s2")).where(_possible("a", "b", threshold, bands * rows))
-            votes = near.groupBy("id", "other").agg(F.count(F.lit(1)).alias("c"))
-            best = votes.groupBy("id").agg(F.max(F.struct("c", "other")).alias("best"))
-            pairs = best.select(F.greatest("id", "best.other").alias("u"), F.least("id", "best.other").alias("v")).distinct()
-        found = _verified(pairs, sets, threshold)
-        links = components(found if links is None else links.unionByName(found))
+            # First the smallest id, which most of a group of copies share bands with; then others.
+            drawn = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
+            leaders = open_members.groupBy("key").agg(F.min(drawn).alias("drawn"))
+            leaders = open_members.withColumn("drawn", drawn).join(leaders, ["key", "drawn"]).select("key", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
+            votes = open_members.join(leaders, "key").where(F.col("comp") != F.col("other_comp")).groupBy("id", "other").agg(F.count(F.lit(1)).alias("c"))
+            side = lambda name, at: traits.select(F.col("id").alias(at), F.struct("n", *SKETCH).alias(name))
+            votes = votes.join(side("a", "id"), "id").join(side("b", "other"), "other").where(_possible("a", "b", threshold, bands * rows))
+            best = votes.groupBy("id").agg((F.max(F.struct("c", "other")) if turn else F.min(F.struct(F.col("other").alias("other")))).alias("best"))
+            found = _verified(best.select(F.greatest("id", "best.other").alias("u"), F.least("id", "best.other").alias("v")).distinct(), sets, threshold)
+        links = joined(links, found)
         label = links.select(F.col("u").alias("id"), F.col("v").alias("now"))
-        open_members = open_members.drop("leader", "comp").join(label, "id", "left").withColumn("comp", F.coalesce("now", "id")).drop("now")
-        if last:
-            break
+        open_members = open_members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("now", "id")).drop("now")
+        release(docs.sparkSession)
     rows_ = ids.join(reps.withColumnRenamed("id", "rep"), "digest", "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id"))))
-    if links is not None:
-        rows_ = rows_.join(links.select(F.col("u").alias("class_id"), F.col("v").alias("top")), "class_id", "left").withColumn("component_id", F.coalesce("top", "class_id"))
-    else:
-        rows_ = rows_.withColumn("component_id", F.col("class_id"))
+    rows_ = rows_.join(links.select(F.col("u").alias("class_id"), F.col("v").alias("top")), "class_id", "left").withColumn("component_id", F.coalesce("top", "class_id"))
     return rows_.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "class_id")
 
 
