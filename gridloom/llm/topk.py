@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.base import written
 
 #: Vectors of a block; data blocks that meet a query block in one task; segments of the levels of bounds.
-BLOCK, BLOCKS_A_PART, LEVELS = 4096, 16, (4, 16)
-#: Pairs gathered at once.
-PAIRS = 1 << 18
+BLOCK, BLOCKS_A_PART, LEVELS = 4096, 16, (4, 16, 32)
+#: Pairs gathered at once; share of survivors from which exact scores come from one matrix product.
+PAIRS, DENSE = 1 << 18, 0.02
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,22 +65,36 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
         return [(int(i), int(j), s) for i, j, s in pairs]
     # Doubles are exact while no sum can pass 2^53; else 64-bit integers.
     exact = np.float64 if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dim < 2.0**53 else np.int64
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
     qe, xe, qf, xf = q.astype(exact), x.astype(exact), q.astype(np.float64), x.astype(np.float64)
     slack = 1e-9 * np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(xf, axis=1)[None, :] + 1e-6
-    bound = segment_statistics(qf, levels[0]) @ segment_statistics(xf, levels[0]).T + slack
-    bound[q_ids[:, None] == ids[None, :]] = -np.inf
-    seeds = min(4 * k, len(ids))
-    top = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
-    seed_scores = np.einsum("qd,qsd->qs", qe, xe[top]).astype(np.float64)
-    seed_scores[np.take_along_axis(bound, top, 1) == -np.inf] = -np.inf
-    least = np.sort(seed_scores, axis=1)[:, -k] if seeds >= k else np.full(len(q), -np.inf)
-    rows, cols = np.nonzero((bound >= least[:, None]) & (bound > -np.inf))
-    for level in levels[1:]:
-        qs, xs = segment_statistics(qf, level), segment_statistics(xf, level)
-        fine = np.concatenate([np.einsum("pd,pd->p", qs[rows[i : i + PAIRS]], xs[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.empty(0)])
-        stays = fine + slack[rows, cols] >= least[rows]
-        rows, cols = rows[stays], cols[stays]
-    score = np.concatenate([np.einsum("pd,pd->p", qe[rows[i : i + PAIRS]], xe[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.empty(0)]).astype(np.int64)
+    alive = q_ids[:, None] != ids[None, :]
+    least = np.full(len(q), -np.inf)
+    for n, level in enumerate(levels):
+        # Blocks of bounds are matrix products; candidates that no query has left are out of them.
+        some = np.flatnonzero(alive.any(axis=0))
+        bound = segment_statistics(qf, level) @ segment_statistics(xf[some], level).T + slack[:, some]
+        if not n and len(some) >= 4 * k:
+            guess = np.where(alive[:, some], bound, -np.inf)
+            top = some[np.argpartition(-guess, 4 * k - 1, axis=1)[:, : 4 * k]]
+            scores = np.einsum("qd,qsd->qs", qe, xe[top]).astype(np.float64)
+            least = np.sort(np.where(np.take_along_axis(alive, top, 1), scores, -np.inf), axis=1)[:, -k]
+        alive[:, some] &= bound >= least[:, None]
+    rows, cols = np.nonzero(alive)
+    if len(rows) > DENSE * alive.size:
+        some = np.flatnonzero(alive.any(axis=0))
+        place = np.cumsum(alive.any(axis=0)) - 1
+        score = (qe @ xe[some].T)[rows, place[cols]].astype(np.int64)
+    else:
+        score = np.concatenate([np.einsum("pd,pd->p", qe[rows[i : i + PAIRS]], xe[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.empty(0)]).astype(np.int64)
+    # Only scores of at least the k-th best of their query are sorted.
+    table = np.full(alive.shape, np.iinfo(np.int64).min)
+    table[rows, cols] = score
+    if table.shape[1] > k:
+        least = np.partition(table, -k, axis=1)[:, -k]
+        stays = score >= least[rows]
+        rows, cols, score = rows[stays], cols[stays], score[stays]
     order = np.lexsort((ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
