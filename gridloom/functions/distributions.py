@@ -68,7 +68,7 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
 
 
 def _nulls(x: np.ndarray) -> pd.Series:
-    return pd.Series(x).astype("Float64").mask(np.isnan(x)).astype(object).where(~np.isnan(x), None)
+    return pd.Series([None if np.isnan(v) else float(v) for v in x], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())

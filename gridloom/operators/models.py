@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,26 +86,27 @@ def grid_search(df: DataFrame, y: str, families: dict[str, dict[int, str]], by:
     place = {c: i for i, c in enumerate(columns)}
     models = np.array([[place[families[f][w]] for f, w in zip(names, ws)] for ws in windows])
 
-    def solve(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        gram, n = np.sum(np.stack(parts["gram"].to_numpy()), axis=0).reshape(len(columns), -1), int(parts["n"].sum())
+    def solve(key: tuple, parts: pa.Table) -> pa.Table:
+        gram, n = np.sum([x.values.to_numpy() for x in parts["gram"]], axis=0).reshape(len(columns), -1), sum(parts["n"].to_pylist())
         a, b = gram[models[:, :, None], models[:, None, :]], gram[models, 0]
         scale = np.sqrt(np.maximum(np.einsum("nii->ni", a), 1e-300))
         corr = a / scale[:, :, None] / scale[:, None, :]
         good = (np.linalg.det(corr) > 1e-12) & (n > 4)
-        corr, scale, b, chosen = corr[good], scale[good], b[good], np.array(windows)[good]
+        corr, scale, b, chosen = corr[good], scale[good], b[good], np.array(windows).reshape(-1, len(names))[good]
         inverse = np.linalg.inv(corr) / scale[:, :, None] / scale[:, None, :]
         beta = np.einsum("nij,nj->ni", inverse, b)
         rss = np.maximum(gram[0, 0] - np.einsum("ni,ni->n", beta, b), 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             t = beta / np.sqrt(np.einsum("nii->ni", inverse) * (rss / max(1, n - 4))[:, None])
-        out = pd.DataFrame({k: [v] * len(beta) for k, v in zip(by, key)} | {f"{f}_window": chosen[:, i] for i, f in enumerate(names)} | {"n": n, "rss": rss})
+        out = {k: pa.array([v.as_py()] * len(beta), v.type) for k, v in zip(by, key)} | {f"{f}_window": pa.array(chosen[:, i], pa.int32()) for i, f in enumerate(names)}
+        out |= {"n": pa.array([n] * len(beta), pa.int64()), "rss": pa.array(rss)}
         for i, f in enumerate(names):
-            out[f"beta_{f}"], out[f"t_{f}"] = beta[:, i], t[:, i]
-        return out
+            out |= {f"beta_{f}": pa.array(beta[:, i]), f"t_{f}": pa.array(t[:, i])}
+        return pa.table(out)
 
     grams = centred.mapInPandas(partial, f"{keys}, gram array<double>, n long")
     schema = f"{keys}, " + ", ".join(f"{f}_window int" for f in names) + ", n long, rss double, " + ", ".join(f"beta_{f} double, t_{f} double" for f in names)
-    solved = grams.groupBy(*by).applyInPandas(solve, schema).join(F.broadcast(n_eff.select(*by, "n_eff")), [*by], "left")
+    solved = grams.groupBy(*by).applyInArrow(solve, schema).join(F.broadcast(n_eff.select(*by, "n_eff")), [*by], "left")
     dof = F.greatest(F.lit(1.0), F.col("n_eff") - 4)
     return solved.withColumns({f"p_{f}": p_of_t(F.abs(f"t_{f}"), dof) for f in names})
 
