@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.base import drop_table, new_table, release
 
 #: Tokens of a chunk; tokens of a bucket on average; counts that are discounted.
-CHUNK, BUCKET, CUTOFF = 2_000_000, 4_000_000, 5
+CHUNK, BUCKET, CUTOFF = 1_000_000, 2_000_000, 5
 #: Hot histories there are at most; tokens from which a history may be hot.
 HOT, HOT_TOKENS = 100_000, 500_000
 #: Not words, as words hold no space; the number of the start mark as a history.
@@ -77,12 +77,12 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of documents; words by local number, local words by hash with their training counts."""
     names = [c.split()[0] for c in TOKENS.split(", ")]
     vocab: dict[bytes, int] = {END: 0}
-    docs: list[tuple[int | None, bool, list[int]]] = []
+    docs: list[tuple[int | None, bool, np.ndarray]] = []
     held, made = 0, 0
 
     def chunk() -> pa.RecordBatch:
         nonlocal vocab, docs, held, made
-        stream = np.concatenate([np.array(d, np.int64) for _, _, d in docs])
+        stream = np.concatenate([d for _, _, d in docs]).astype(np.int64)
         lengths = [len(d) for _, _, d in docs]
         train = np.repeat([not h for _, h, _ in docs], lengths)
         counts = np.bincount(stream[train], minlength=len(vocab))
@@ -102,7 +102,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 except KeyError:
                     numbers = [vocab.setdefault(w, len(vocab)) for w in words]
                 numbers.append(0)
-                docs.append((doc_id, is_held_out(doc_id), numbers))
+                docs.append((doc_id, is_held_out(doc_id), np.array(numbers, np.int32)))
                 held += len(numbers)
                 if held >= CHUNK:
                     yield chunk()
@@ -128,12 +128,12 @@ def _ask_words(n: int):
     return run
 
 
-#: kind answer: a, b of a chunk; kind table: the n-grams and counts of a bucket; kind sums: counts of counts; kind hot: partial sums of histories.
-KEPT = "bucket int, chunk long, a binary, b binary, c binary, numbers array<double>, kind string"
+#: kind answer: what a chunk gets; kind table: the n-grams and counts of a bucket; kind sums: counts of counts; kind hot: partial sums of histories.
+KEPT = "bucket int, chunk long, a binary, b binary, c binary, d binary, numbers array<double>, kind string"
 
 
 def _kept(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.string()]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.string()]
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in KEPT.split(", ")])
 
 
@@ -154,10 +154,10 @@ def _count_words(n: int):
         for chunk, h in zip(chunks, hashes):
             at = where[begin : begin + len(h) // 8]
             begin += len(at)
-            out.append((bucket, chunk, pack(number[at]), pack(total[at]), None, None, "answer"))
+            out.append((bucket, chunk, pack(number[at]), pack(total[at]), None, None, None, "answer"))
         known = total > 0
-        out.append((bucket, None, keys[known].tobytes(), pack(number[known]), pack(total[known]), None, "table"))
-        out.append((bucket, None, None, None, None, [float(total.sum()), float(known.sum()), *_counts_of_counts(total)], "sums"))
+        out.append((bucket, None, keys[known].tobytes(), pack(number[known]), pack(total[known]), None, None, "table"))
+        out.append((bucket, None, None, None, None, None, [float(total.sum()), float(known.sum()), *_counts_of_counts(total)], "sums"))
         return _kept(out)
 
     return run
@@ -264,14 +264,16 @@ def _count_pairs(unigrams: Unigrams):
         for chunk, size in zip(chunks, sizes):
             at = slice(begin, begin + size)
             begin += size
-            mine = np.unique(h[at])
-            out.append((bucket, chunk, pack(total[where[at]]), pack(rare[:, mine].ravel()), mass[mine].astype("<f8").tobytes(), None, "answer"))
+            # Weights are asked for by pairs that training hasn't; of other histories only whether a follower is rare.
+            mine, asked = np.unique(h[at]), total[where[at]]
+            backed = np.unique(h[at][asked == 0])
+            out.append((bucket, chunk, pack(asked), pack(rare[:, mine].any(axis=0)), mass[backed].astype("<f8").tobytes(), pack(rare[:, backed].ravel()), None, "answer"))
         is_hot = np.zeros(len(histories), bool)
         is_hot[h[np.concatenate(hot) > 0]] = True
         for i in np.flatnonzero(is_hot):
-            out.append((bucket, None, None, None, None, [float(histories[i]), mass[i], *map(float, rare[:, i])], "hot"))
-        out.append((bucket, None, pack(histories[of[seen]]), pack(words[w[first][seen]]), pack(total[seen]), None, "table"))
-        out.append((bucket, None, None, None, None, _counts_of_counts(total), "sums"))
+            out.append((bucket, None, None, None, None, None, [float(histories[i]), mass[i], *map(float, rare[:, i])], "hot"))
+        out.append((bucket, None, pack(histories[of[seen]]), pack(words[w[first][seen]]), pack(total[seen]), None, None, "table"))
+        out.append((bucket, None, None, None, None, None, _counts_of_counts(total), "sums"))
         return _kept(out)
 
     return run
@@ -299,10 +301,14 @@ def _score(words: int, buckets: int, least: float, unigrams: Unigrams, d: np.nda
                     p = p[np.lexsort((c.word[p], c.history[p]))]
                     total[p] = unpack(a["a"])
                     own, h = np.unique(c.history[p], return_inverse=True)
-                    rare, mass = unpack(a["b"]).reshape(CUTOFF, len(own)), np.frombuffer(a["c"], "<f8").copy()
+                    some, backed = unpack(a["b"]) > 0, np.unique(h[total[p] == 0])
+                    rare, mass = np.zeros((CUTOFF, len(own))), np.zeros(len(own))
+                    rare[:, backed], mass[backed] = unpack(a["d"]).reshape(CUTOFF, len(backed)), np.frombuffer(a["c"], "<f8")
                     for i in np.flatnonzero(np.isin(own, [*hot_sums])):
                         rare[:, i], mass[i] = hot_sums[int(own[i])][1:], hot_sums[int(own[i])][0]
-                    over[p], weight[p] = backoff(count[p], rare[:, h], mass[h], d)
+                        some[i] = rare[:, i].any()
+                    over[p] = np.where(some[h], count[p], count[p] + 1.0)
+                    weight[p] = backoff(count[p], rare[:, h], mass[h], d)[1]
                 discounted = np.where(total > CUTOFF, 1.0, d[np.minimum(total, CUTOFF)]) * total / over
                 pair, known = c.pair_of, c.known
                 probability[known] = np.where(total[pair] > 0, discounted[pair], weight[pair] * probability[known])
@@ -319,7 +325,9 @@ class KatzModel:
         self.spark: SparkSession = docs.sparkSession
         self.id_col, self.path = id_col, new_table(self.spark, "katz")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.tokens = self._bucketed(texts.mapInArrow(_tokenize, TOKENS), max(1, texts.rdd.getNumPartitions()))
+        # As many buckets as a shuffle has partitions at least: answers are then dealt like the chunks, which needn't move.
+        buckets = max(1, texts.rdd.getNumPartitions(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.tokens = self._bucketed(texts.mapInArrow(_tokenize, TOKENS), buckets)
         train = F.size(F.filter("held", lambda x: ~x))
         total, self.starts = self.tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(train), F.lit(0))).first()
         self.buckets = max(1, -(-total // BUCKET))
@@ -348,7 +356,7 @@ class KatzModel:
         return [x or 0.0 for x in row]
 
     def _answers(self, kept: DataFrame, name: str) -> DataFrame:
-        return kept.where(F.col("kind") == "answer").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias(name))
+        return kept.where(F.col("kind") == "answer").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d")).alias(name))
 
     def _with_answers(self) -> DataFrame:
         return self.tokens.join(self._answers(self.words, "answers"), "chunk").select("chunk", "hashes", "stream", "lengths", "held", "answers", "ids")
