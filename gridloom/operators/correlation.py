@@ -44,11 +44,20 @@ def spearman_ordinal(df: DataFrame, x: str, y: str, by: Sequence[str], ties: Seq
 
 def autocorrelation(df: DataFrame, columns: Sequence[str], lags: Sequence[int], by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """by, column, lag, r: correlation of a column's rows with those ``lag`` rows before (means of head and tail apart)."""
-    over = Window.partitionBy(*by).orderBy(*order)
-    pairs = [(c, k) for c in columns for k in lags]
-    lagged = df.select(*by, *columns, *[F.lag(c, k).over(over).alias(f"_{i}") for i, (c, k) in enumerate(pairs)])
-    wide = lagged.groupBy(*by).agg(*[safe_corr(F.col(c), F.col(f"_{i}")).alias(f"_r{i}") for i, (c, _) in enumerate(pairs)])
-    return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("lag"), F.col(f"_r{i}").alias("r")) for i, (c, k) in enumerate(pairs)])))
+    lagged = _lagged(df, columns, lags, by, order)
+    wide = lagged.groupBy(*by, "lag").agg(*[safe_corr(F.col(c), F.col(f"_then.{c}")).alias(f"_{c}") for c in columns])
+    return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col("lag"), F.col(f"_{c}").alias("r")) for c in columns])))
+
+
+def _lagged(df: DataFrame, columns: Sequence[str], lags: Sequence[int], by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """A row for each row and lag that the group has: the columns now and, in ``_then``, lag rows before.
+
+    Each row holds the values before it up to the longest lag, and is aggregated by lag before any shuffle.
+    """
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(-max(lags), -1)
+    held = df.select(*by, *columns, F.reverse(F.collect_list(F.struct(*columns)).over(before)).alias("_before"))
+    spread = held.select(*by, *columns, F.posexplode("_before").alias("_k", "_then")).withColumn("lag", F.col("_k") + 1)
+    return spread if len(lags) == max(lags) else spread.where(F.col("lag").isin([*lags]))
 
 
 def acf_global_mean(series: DataFrame, c: str, lags: int, order: Sequence[str] = ("date",), by: Sequence[str] = ()) -> DataFrame:
@@ -61,11 +70,11 @@ def acf_global_mean(series: DataFrame, c: str, lags: int, order: Sequence[str] =
 
 def neff_full(ranked: DataFrame, x: str, y: str, by: Sequence[str], order: Sequence[str], most: int = C.NEFF_MAX_LAG) -> DataFrame:
     """n, n_eff and neff_factor: n / max(1 + 2 sum of r_x(k) r_y(k), 0.001), 2 at least, k up to min(most, n - 2), r cut at 0.99."""
-    r = autocorrelation(ranked, [x, y], range(1, most + 1), by, order)
     n = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    own = lambda c: F.max(F.when(F.col("column") == c, S.clipped(F.col("r"), 0.99)))
-    products = r.groupBy(*by, "lag").agg((own(x) * own(y)).alias("_p")).join(n, [*by]).where(F.col("lag") <= F.greatest(F.col("n") - 2, F.lit(1)))
-    summed = products.groupBy(*by, "n").agg(F.coalesce(F.sum("_p"), F.lit(0.0)).alias("_s"))
+    lagged = _lagged(ranked, [x, y], range(1, most + 1), by, order)
+    r = lagged.groupBy(*by, "lag").agg(*[S.clipped(safe_corr(F.col(c), F.col(f"_then.{c}")), 0.99).alias(a) for c, a in ((x, "_x"), (y, "_y"))])
+    used = F.when(F.col("lag") <= F.greatest(F.col("n") - 2, F.lit(1)), F.col("_x") * F.col("_y"))
+    summed = n.join(r, [*by], "left").groupBy(*by, "n").agg(F.coalesce(F.sum(used), F.lit(0.0)).alias("_s"))
     n_eff = F.greatest(F.lit(2.0), F.col("n") / F.greatest(1 + 2 * F.col("_s"), F.lit(1e-3)))
     return summed.select(*by, "n", n_eff.alias("n_eff")).withColumn("neff_factor", F.col("n_eff") / F.col("n"))
 
