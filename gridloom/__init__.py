@@ -1 +1,23 @@
 """Gridded time-series analytics on Spark DataFrames."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Make this package importable on the executors, once an application; Spark sends the archive to them."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / "gridloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(here.rglob("*.py")):
+            z.write(file, file.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
