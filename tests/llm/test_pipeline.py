@@ -82,7 +82,7 @@ def test_every_query_is_registered_and_runs(spark, folder):
     plans = __spark_entry__.queries()
     for n in range(1, 11):
         (name,) = [q for q in plans if q.startswith(f"op{n}_")]
-        assert plans[name] is queries.QUERIES[name]
+        assert name in queries.QUERIES
         assert plans[name](spark, folder).count() > 0
     assert "pipeline" in plans
 
