@@ -45,3 +45,13 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]]
     return "\n".join([*lines, *(["", f"More than {most} rows."] if len(rows) > most else [])]) + "\n"
+
+
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(content)
+    finally:
+        stream.close()
