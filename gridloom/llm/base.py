@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder (tests, single machine).
@@ -41,6 +44,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Memo:
+    """A bounded memo of two generations: when the young one is full it becomes the old one, and what is asked for
+    again moves back. So frequent keys stay, and at most twice ``size`` entries are held."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> list:
+        """The keys that have to be made, each once; those of the old generation move to the young one."""
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    young[k] = None
+                    out.append(k)
+        return out
+
+    def turn(self) -> dict:
+        """The young generation, for direct reading until the next turn."""
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        return self.young
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system, as workers are used again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and checkpoints of steps that nothing refers to any more."""
     gc.collect()

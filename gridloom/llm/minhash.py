@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, release, written
+from gridloom.llm.base import cut, release, trim, written
 from gridloom.llm.components import joined
 
 #: Chance that a pair at the threshold shares no band; most coordinates; bits of the sketch; standard deviations it may be off.
 MISS, COORDINATES, SKETCH_BITS, DEVIATIONS = 1e-6, 352, 384, 4.75
 #: Entries of a worker's memo of word hashes, emptied when full; shingles hashed in one flat array.
-MEMO, FLAT = 1_000_000, 1 << 16
+MEMO, FLAT = 300_000, 1 << 16
 #: Rounds with leaders before all remaining pairs; members of a block of a bucket.
 LEADER_ROUNDS, BLOCK = 2, 512
 LONGS = SKETCH_BITS // 64
@@ -154,6 +154,8 @@ def _sign(k: int, bands: int, rows: int):
                         keys[j] = row
                     bits[full] = sketch(signature)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), pa.array(keys, pa.list_(pa.int64())), *(pa.array(bits[:, c]) for c in range(LONGS))], [c.split()[0] for c in SIGNED.split(", ")])
+        del shingler
+        trim()
 
     return run
 
@@ -287,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
         open_members = cut(open_members.join(spread, "key"))
         if turn == LEADER_ROUNDS:
             blocks = _blocks(open_members).join(sets, "id").join(traits, "id").select("key", "one", "other", "id", "comp", "left", "n", "bands", "members", *SKETCH)
-            parts = max(1, open_members.count() // 4096, docs.sparkSession.sparkContext.defaultParallelism)
+            parts = max(1, open_members.count() // 1024, docs.sparkSession.sparkContext.defaultParallelism)
             found = blocks.repartition(parts, "key", "one", "other").sortWithinPartitions("key", "one", "other").mapInArrow(_compare(threshold, bands * rows), "u long, v long")
         else:
             # First the smallest id, which most of a group of copies share bands with; then others.

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from gridloom.llm.base import Memo, trim
+
 #: Context sizes, the longest first; tokens of a step group; rests that a task holds before it packs them.
 TIERS, STEP_TOKENS, PENDING = (4096, 2048, 1024, 512, 256), 65_536, 4096
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 800_000
+#: Entries of a generation of a worker's memos of words and of their parts.
+MEMO = 250_000
 #: Python splits at these, the tokenizer's \s does not.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Fixed value: the tokenizer's pattern, as it reads on lower-case printable ASCII.
@@ -49,7 +51,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Memo(MEMO), Memo(MEMO)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -61,21 +63,17 @@ class WordEncoder:
         if "<|" in word:
             return self._whole(word)
         parts = ASCII_PARTS.findall(word.lower()) if word.isascii() and word.isprintable() else [p for p, _ in self.split(self.normalize(word))]
-        known = self.parts
+        known = self.parts.young
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
-            for p in parts:
-                if p not in known:
-                    known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(p)])
+            for p in self.parts.missing(parts):
+                known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(p)])
             return b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > MEMO:
-            self.words = {}
-        if len(self.parts) > MEMO:
-            self.parts = {}
-        memo, out = self.words, []
+        self.parts.turn()
+        memo, out = self.words.turn(), []
         for text in texts:
             if text and ODD_SPACES.search(text):
                 out.append(self._whole(text))
@@ -84,9 +82,8 @@ class WordEncoder:
             try:
                 out.append(b"".join([memo[w] for w in words]))
             except KeyError:
-                for w in words:
-                    if w not in memo:
-                        memo[w] = self._word(w)
+                for w in self.words.missing(words):
+                    memo[w] = self._word(w)
                 out.append(b"".join([memo[w] for w in words]))
         return out
 
@@ -203,5 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "d
                     packer.add(doc_id, np.frombuffer(ids + end, "<u4"))
             yield from rows(last=False)
         yield from rows(last=True)
+        del packer
+        trim()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])).withColumnRenamed("id", id_col)

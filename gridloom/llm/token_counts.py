@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Entries of a worker's memo of merged pre-tokens; it is emptied when full.
-MEMO = 800_000
+MEMO = 600_000
 #: Texts whose new pre-tokens are merged together.
 TOGETHER = 512
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")

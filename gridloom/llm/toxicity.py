@@ -36,7 +36,7 @@ TRAIN_ROWS, FEATURES, FOLDS, STEPS, PENALTY = 4000, 768, 5, 120, 0.5
 #: Lengths of the starts of words; least rows that a feature is in; probability from which a text is toxic.
 STARTS, LEAST_ROWS, TOXIC_FROM = (4, 5, 6, 7), 3, 0.5
 #: Entries of a worker's memo of words without model features, emptied when full.
-MEMO = 1_000_000
+MEMO = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that tell the categories of labelled toxic texts apart.
 WORD_LISTS = {
