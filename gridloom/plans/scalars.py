@@ -193,7 +193,7 @@ def _(spark, d):
 
 @query("SC6_swath_points", f"WITH {POINTS} SELECT pid, date FROM points WHERE pid % 3 = 0")
 def _(spark, d):
-    rows = points(spark, d).select("pid", F.concat(F.lit("/data/oco_lite_"), F.date_format("date", "yyMMdd"), F.lit("_v1.nc4")).alias("file"), (c("pid") % 3).alias("quality"))
+    rows = points(spark, d).select("pid", F.concat(F.lit("/data/swath_lite_"), F.date_format("date", "yyMMdd"), F.lit("_v1.nc4")).alias("file"), (c("pid") % 3).alias("quality"))
     return readers.swath_points(rows).select("pid", "date")
 
 

@@ -297,7 +297,7 @@ def test_env_variables(spark):
 
 
 def test_swath_names_that_are_no_dates_go(spark):
-    rows = spark.createDataFrame([("/a/oco_lite_990131_x.nc", 0), ("/a/oco_lite_xx_x.nc", 0), ("/a/oco.nc", 0), ("/a/oco_lite_140131_x.nc", 1)], "file string, quality int")
+    rows = spark.createDataFrame([("/a/swath_lite_990131_x.nc", 0), ("/a/swath_lite_xx_x.nc", 0), ("/a/swath.nc", 0), ("/a/swath_lite_140131_x.nc", 1)], "file string, quality int")
     assert [r.date for r in readers.swath_points(rows).collect()] == [dt.date(1999, 1, 31)]
 
 
