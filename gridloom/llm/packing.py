@@ -28,63 +28,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gridloom.llm.base import Memo, trim
+from gridloom.llm.bpe import byte_alphabet
 
 #: Context sizes, the longest first; tokens of a step group; rests that a task holds before it packs them.
 TIERS, STEP_TOKENS, PENDING = (4096, 2048, 1024, 512, 256), 65_536, 4096
-#: Entries of a generation of a worker's memos of words and of their parts.
-MEMO = 250_000
+#: Entries of a generation of a worker's memo of words, and of its memo of their parts.
+MEMO = 400_000
 #: Python splits at these, the tokenizer's \s does not.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
-#: Fixed value: the tokenizer's pattern, as it reads on lower-case printable ASCII.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Fixed value: the tokenizer's pattern, as it reads on lower-case printable characters below LATIN_END, which composition leaves alone.
+LATIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ſ²³¹¼½¾]+")
+LATIN_END = "\u0180"
+BYTE_CHARACTERS = {b: c for c, b in byte_alphabet().items() if b > 0x7F}
 
 
 class WordEncoder:
     """Ids of whole texts under a tokenizer that drops white space; each distinct word is encoded once.
 
     The tokenizer's normaliser and splits never look past white space, so a text's ids are those of
-    its words in a row; texts with characters that Python alone takes for white space, and words that
-    may hold an added token, go to the tokenizer as they are. Other words are split into pre-tokens,
-    by the tokenizer itself or, if plain ASCII, by the same pattern, and its model encodes each distinct one.
+    its words in a row; texts with characters that Python alone takes for white space go to the tokenizer
+    as they are, and so do words that may hold an added token or have a character from LATIN_END on. Other words are
+    split by the same pattern, and the tokenizer's model encodes each distinct part.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Memo(MEMO), Memo(MEMO)
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Memo(MEMO), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-token; the model reads its bytes as characters."""
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+
     def _word(self, word: str) -> bytes:
-        if "<|" in word:
+        if "<|" in word or not word.isprintable() or not (word.isascii() or (max(word) < LATIN_END and "İ" not in word)):
             return self._whole(word)
-        parts = ASCII_PARTS.findall(word.lower()) if word.isascii() and word.isprintable() else [p for p, _ in self.split(self.normalize(word))]
-        known = self.parts.young
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            for p in self.parts.missing(parts):
-                known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(p)])
-            return b"".join([known[p] for p in parts])
+        known, out = self.parts, []
+        for part in LATIN_PARTS.findall(word.lower()):
+            ids = known.get(part)
+            if ids is None:
+                ids = known[part] = self._part(part)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        self.parts.turn()
+        if len(self.parts) > MEMO:
+            self.parts = {}
         memo, out = self.words.turn(), []
         for text in texts:
             if text and ODD_SPACES.search(text):
                 out.append(self._whole(text))
                 continue
             words = text.split() if text else []
-            try:
-                out.append(b"".join([memo[w] for w in words]))
-            except KeyError:
-                for w in self.words.missing(words):
+            if new := set(words).difference(memo):
+                for w in self.words.missing(new):
                     memo[w] = self._word(w)
-                out.append(b"".join([memo[w] for w in words]))
+            out.append(b"".join([memo[w] for w in words]))
         return out
 
 

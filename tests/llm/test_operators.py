@@ -290,6 +290,18 @@ def test_byte_bpe_equals_the_library_and_decodes(spark):
     assert bpe.encode_table(edge_docs(spark).limit(0), path).collect() == []
 
 
+def test_words_of_any_latin_characters_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rng = np.random.default_rng(9)
+    alphabet = [chr(i) for i in range(1, 0x250)] + list("'sltd ve mre \u0301日é<|>")
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 30))) for _ in range(3000)] + [f"a{chr(i)}B {chr(i)}" for i in range(1, 0x250)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pieces_tile_documents_and_sequences(spark):
     from tokenizers import Tokenizer
 
