@@ -30,10 +30,15 @@ SINGLE_TEXT_SHARE = 0.25
 ROUNDS = 8
 
 
-def _weighted_sample(rows: DataFrame, n: int, seed: int) -> list:
-    """n rows drawn without replacement with probability in proportion to size (exponential keys)."""
+def _weighted_sample(rows: DataFrame, n: int, seed: int, total: int) -> list:
+    """n rows or a few less, drawn without replacement with probability in proportion to size.
+
+    Keys are exponential with the size as rate; rows of ``total`` bytes have about 2 n keys up to the bound, so
+    that is what comes together from all tasks, however many they are.
+    """
     u = (F.pmod(F.xxhash64(F.lit(seed), "t", "h"), F.lit(1 << 52)) + 1) / float((1 << 52) + 2)
-    return rows.select("h", "t", (-F.log(u) / F.col("size")).alias("k")).orderBy("k", "h", "t").limit(n).collect()
+    keyed = rows.select("h", "t", (-F.log(u) / F.col("size")).alias("k"))
+    return keyed.where(F.col("k") <= 2 * n / max(1, total)).orderBy("k", "h", "t").limit(n).collect()
 
 
 def _quantiles(values: list[int], parts: int) -> list[int]:
@@ -82,7 +87,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = n_shards * RANGES_PER_SHARD
     limit, single = 2 * total / ranges, SINGLE_TEXT_SHARE * total / n_shards
-    splitters = Splitters(_quantiles([r.h for r in _weighted_sample(rows, ranges * SAMPLES_PER_RANGE, 0)], ranges), {})
+    splitters = Splitters(_quantiles([r.h for r in _weighted_sample(rows, ranges * SAMPLES_PER_RANGE, 0, total)], ranges), {})
     for seed in range(1, ROUNDS + 1):
         sizes = _sizes(rows, splitters)
         over = {r.range: r for r in sizes if r.bytes > (limit if r.lo < r.hi else single) and r.n > 1}
@@ -92,7 +97,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
         bounds, hot = [*map(int, splitters.bounds)], dict(splitters.hot)
         inside = rows.where(splitters.column().isin([*over]))
         drawn: dict[int, list] = {k: [] for k in over}
-        sample = _weighted_sample(inside, ranges * SAMPLES_PER_RANGE, seed)
+        sample = _weighted_sample(inside, ranges * SAMPLES_PER_RANGE, seed, sum(r.bytes for r in over.values()))
         for k, s in zip(splitters.of(*(np.array([s[c] for s in sample], np.int64) for c in "ht")), sample):
             drawn[k].append(s)
         for k, r in over.items():
