@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, release, trim, written
+from gridloom.llm.base import cut, drop_table, new_table, release, trim, written
 from gridloom.llm.components import joined
 
 #: Chance that a pair at the threshold shares no band; most coordinates; bits of the sketch; standard deviations it may be off.
@@ -278,7 +278,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     needed = cut(members.select("id").distinct())
     few = needed.count() <= BROADCAST_IDS
     pick = F.broadcast(needed) if few else needed.hint("shuffle_hash")
-    sets = written(texts.join(pick, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, members binary"), "shingle-sets")
+    sets_path = new_table(docs.sparkSession, "shingle-sets")
+    texts.join(pick, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, members binary").write.parquet(sets_path)
+    sets = docs.sparkSession.read.schema("id long, members binary").parquet(sets_path)
     traits = cut(signed.select("id", F.col("n_shingles").alias("n"), "bands", *SKETCH).join(pick, "id", "left_semi").dropDuplicates(["id"]))
     release(docs.sparkSession)
 
@@ -305,6 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
         label = links.select(F.col("u").alias("id"), F.col("v").alias("now"))
         open_members = open_members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("now", "id")).drop("now")
         release(docs.sparkSession)
+    drop_table(docs.sparkSession, sets_path)
     rows_ = ids.join(reps.withColumnRenamed("id", "rep"), "digest", "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id"))))
     rows_ = rows_.join(links.select(F.col("u").alias("class_id"), F.col("v").alias("top")), "class_id", "left").withColumn("component_id", F.coalesce("top", "class_id"))
     return rows_.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "class_id")
