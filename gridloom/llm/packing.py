@@ -33,7 +33,7 @@ from gridloom.llm.bpe import byte_alphabet
 #: Context sizes, the longest first; tokens of a step group; rests that a task holds before it packs them.
 TIERS, STEP_TOKENS, PENDING = (4096, 2048, 1024, 512, 256), 65_536, 4096
 #: Entries of a generation of a worker's memo of words, and of its memo of their parts.
-MEMO = 400_000
+MEMO = 300_000
 #: Python splits at these, the tokenizer's \s does not.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Fixed value: the tokenizer's pattern, as it reads on lower-case printable characters below LATIN_END, which composition leaves alone.
