@@ -38,9 +38,10 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
     """time, kp, dst, f10_7 and sii (-dst) of white-space records; malformed ones and impossible times go."""
-    parts = F.split(F.trim(F.col(value)), r"\s+")
-    number = lambda i: F.try_element_at(parts, F.lit(i + 1)).try_cast("double")
-    raw = lines.where(F.size(parts) >= FIELDS).select(*[number(i).alias(n) for i, n in ((YEAR, "y"), (DAY, "d"), (HOUR, "h"), (KP, "kp"), (DST, "dst"), (F10, "f10_7"))])
+    # Generators keep the optimiser from putting the split into every condition below.
+    parts = lines.select(F.explode(F.array(F.split(F.trim(F.col(value)), r"\s+"))).alias("p")).where(F.size("p") >= FIELDS)
+    number = lambda i: F.try_element_at("p", F.lit(i + 1)).try_cast("double")
+    raw = parts.select(F.inline(F.array(F.struct(*[number(i).alias(n) for i, n in ((YEAR, "y"), (DAY, "d"), (HOUR, "h"), (KP, "kp"), (DST, "dst"), (F10, "f10_7"))]))))
     valid = raw.where(F.col("y").between(1900, 2100) & F.col("d").isNotNull() & F.col("h").isNotNull() & F.col("kp").isNotNull() & F.col("dst").isNotNull() & F.col("f10_7").isNotNull())
     timed = valid.select(S.timestamp_of(F.col("y").cast("int"), F.col("d").cast("int"), F.col("h").cast("int")).alias("time"), F.nullif("kp", F.lit(float(FILL_KP))).alias("kp"), F.nullif("dst", F.lit(float(FILL_DST))).alias("dst"), F.nullif("f10_7", F.lit(FILL_F10)).alias("f10_7"))
     return timed.where(F.col("time").isNotNull()).withColumn("sii", S.sign_flip(F.col("dst")))
