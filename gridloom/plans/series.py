@@ -27,8 +27,8 @@ def r6(x):
 query("W1_ma_prior", f"WITH {DAILY} SELECT date, " + ", ".join(f"round(avg(sii_mean) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 6) AS ma{w}" for w in (1, 7, 28, 90)) + " FROM daily")(
     lambda spark, d: daily(spark, d).select("date", *[r6(W.ma_prior("sii_mean", w)).alias(f"ma{w}") for w in (1, 7, 28, 90)])
 )
-query("W1_many_windows", f"WITH {DAILY} SELECT date, " + ", ".join(f"round(avg(sii_mean) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 4) AS sii_mean_ma{w}" for w in C.MA_WINDOWS) + " FROM daily")(
-    lambda spark, d: W.many_trailing(daily(spark, d), "sii_mean", C.MA_WINDOWS, [], prior=True).select("date", *[F.round(f"sii_mean_ma{w}", 4).alias(f"sii_mean_ma{w}") for w in C.MA_WINDOWS])
+query("W1_many_windows", f"WITH {DAILY} SELECT date, " + ", ".join(f"round(avg(sii_mean) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 3) AS sii_mean_ma{w}" for w in C.MA_WINDOWS) + " FROM daily")(
+    lambda spark, d: W.many_trailing(daily(spark, d), "sii_mean", C.MA_WINDOWS, [], prior=True).select("date", *[F.round(f"sii_mean_ma{w}", 3).alias(f"sii_mean_ma{w}") for w in C.MA_WINDOWS])
 )
 _m = "avg(sii_mean) OVER (ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
 query("W2_smoothed_lags", f"WITH {DAILY}, s AS (SELECT date, {_m} AS m FROM daily) SELECT date, " + ", ".join(f"round(lag(m, {k}) OVER (ORDER BY date), 6) AS sii_mean_lag{k}" for k in C.LAGS) + " FROM s")(
