@@ -62,14 +62,22 @@ BIN_ID = "CASE WHEN temp IS NULL THEN NULL WHEN temp <= 7 THEN 0 WHEN temp <= 15
 BIN_LABEL = f"['Cold', 'Cool', 'Optimum', 'Warm_Stress', 'Extreme_Heat'][1 + ({BIN_ID})]"
 
 
+#: Windows of the results table.
+RESULT_WINDOWS = 26
+
+
 def results(spark: SparkSession, d: str) -> DataFrame:
-    """A results table: target, scenario, bin_id, bin_label, omni_var, window, rho, p_adj (some missing), n_eff, n."""
-    parts = table(spark, d, "part").where("p_partkey <= 2000")
-    c = F.col
+    """A results table: target, scenario, bin_id, bin_label, omni_var, window, rho, p_adj (some missing), n_eff, n.
+
+    A row for every part; windows are 1 to RESULT_WINDOWS, whatever the number of parts. RESULTS still stops at p_partkey 2000,
+    up to which both are equal.
+    """
+    parts, c = table(spark, d, "part"), F.col
+    window = (F.floor(c("p_partkey") / 80) % RESULT_WINDOWS + 1).cast("int")
     return parts.select(
         F.element_at(F.array(*map(F.lit, ("t740", "t757", "t771", "stress"))), (c("p_partkey") % 4 + 1).cast("int")).alias("target"), F.element_at(F.array(*map(F.lit, ("Global_High_LAI", "SAA_High_LAI", "Control_North", "Sahara_Barren"))), (F.floor(c("p_partkey") / 4) % 4 + 1).cast("int")).alias("scenario"),
         (F.floor(c("p_partkey") / 16) % 5).cast("int").alias("bin_id"), F.element_at(F.array(*map(F.lit, ("Cold", "Cool", "Optimum", "Warm_Stress", "Extreme_Heat"))), (F.floor(c("p_partkey") / 16) % 5 + 1).cast("int")).alias("bin_label"),
-        F.concat(F.element_at(F.array(*map(F.lit, ("sii_mean", "par", "vpd", "f10_7_mean"))), (c("p_size") % 4 + 1).cast("int")), F.lit("_ma"), (F.floor(c("p_partkey") / 80) + 1).cast("string")).alias("omni_var"), (F.floor(c("p_partkey") / 80) + 1).cast("int").alias("window"),
+        F.concat(F.element_at(F.array(*map(F.lit, ("sii_mean", "par", "vpd", "f10_7_mean"))), (c("p_size") % 4 + 1).cast("int")), F.lit("_ma"), window.cast("string")).alias("omni_var"), window.alias("window"),
         ((c("p_partkey") * 7919 % 2001) / 1000.0 - 1).alias("rho"), F.when(c("p_partkey") % 17 != 0, (c("p_partkey") * 104729 % 10007) / 10007.0 * (c("p_partkey") * 31 % 7) / 6.0).alias("p_adj"), (c("p_size") * 3 + 2.5).alias("n_eff"), (c("p_size") * 5).cast("long").alias("n"),
     )
 
