@@ -5,9 +5,9 @@ data once, ``_pi`` is read circularly shifted by one more place for each coordin
 equal shingle sets form a class; only one document of a class goes on. Classes that share a band
 are candidates. Their full sets are compared in rounds: first each class with the leader of one of
 its bands, then, between components not yet joined, with other leaders, and at last every pair that
-shares a band, lies in different components and is not ruled out by set sizes or a
-sketch of one bit a coordinate (at DEVIATIONS standard deviations): buckets are dealt in blocks, which are
-compared inside a task without emitting their pairs. As links inside a component change nothing,
+shares a band, lies in different components and is not ruled out by set sizes: buckets are dealt in blocks, which are
+compared inside a task without emitting their pairs. Only the leaders' rounds look at a sketch of one bit a coordinate
+(at DEVIATIONS standard deviations); what it leaves out there is compared in the last round. As links inside a component change nothing,
 the components are those of all linked candidates, without all pairs of a group of copies.
 
 Number and length of bands follow from the threshold, so that a pair at the threshold shares no band
@@ -226,21 +226,18 @@ def _blocks(open_members: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def _compare(threshold: Fraction, coordinates: int):
+def _compare(threshold: Fraction):
     """Links between members of a pair of blocks; a pair is looked at in the first bucket that it shares."""
-    most = _most_differing(threshold, coordinates)
     up, down = threshold.numerator, threshold.denominator
 
     def pairs_of(key: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, comps, left, sizes, bands, members = zip(*(r[:6] for r in rows))
-        bits = np.array([r[6:] for r in rows], np.int64).view(np.uint64)
+        ids, comps, left, sizes, bands, members = zip(*rows)
         comps, left, sizes = np.array(comps), np.array(left), np.array(sizes)
         whole = left.all()
         for i in np.flatnonzero(left):
             rest = np.arange(i + 1, len(rows)) if whole else np.flatnonzero(~left)
             rest = rest[comps[rest] != comps[i]]
             rest = rest[down * np.minimum(sizes[rest], sizes[i]) >= up * np.maximum(sizes[rest], sizes[i])]
-            rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= most]
             for j in rest:
                 if min(set(bands[i]) & set(bands[j])) == key and _linked(np.frombuffer(members[i], np.uint64), np.frombuffer(members[j], np.uint64), threshold):
                     yield max(ids[i], ids[j]), min(ids[i], ids[j])
@@ -290,9 +287,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
         spread = open_members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         open_members = cut(open_members.join(spread, "key"))
         if turn == LEADER_ROUNDS:
-            blocks = _blocks(open_members).join(sets, "id").join(traits, "id").select("key", "one", "other", "id", "comp", "left", "n", "bands", "members", *SKETCH)
+            blocks = _blocks(open_members).join(sets, "id").join(traits, "id").select("key", "one", "other", "id", "comp", "left", "n", "bands", "members")
             parts = max(1, open_members.count() // 1024, docs.sparkSession.sparkContext.defaultParallelism)
-            found = blocks.repartition(parts, "key", "one", "other").sortWithinPartitions("key", "one", "other").mapInArrow(_compare(threshold, bands * rows), "u long, v long")
+            found = blocks.repartition(parts, "key", "one", "other").sortWithinPartitions("key", "one", "other").mapInArrow(_compare(threshold), "u long, v long")
         else:
             # First the smallest id, which most of a group of copies share bands with; then others.
             drawn = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")

@@ -83,6 +83,15 @@ def test_near_duplicates_equal_brute_force(spark, k, num, den):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize(("k", "num", "den", "draws"), [(3, 85, 100, (821, 5626, 7267)), (5, 4, 5, (537, 608, 707))])
+def test_small_sets_whose_sketches_differ_are_linked(spark, k, num, den, draws):
+    """Sets that share a band and reach the threshold, with more differing bits than the sketch allows."""
+    words = [[f"w{i}x{j}" for j in range(9)] for i in draws]
+    texts = [" ".join(w[:n]) for w in words for n in (8, 9)]
+    got = minhash.near_duplicates(frame(spark, texts), k, Fraction(num, den)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_duplicates_edge_cases(spark):
     got = minhash.near_duplicates(edge_docs(spark)).collect()
     assert len(got) == len(TEXTS) + 3
