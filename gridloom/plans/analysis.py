@@ -210,9 +210,9 @@ def _(spark, d):
     return SC.meta_table(spark, models(spark, d), ["y"], C.BIN_LABELS, [s for s, _, _ in C.SCENARIOS]).select("metric", "bin", "mask", "mode", "sii_step", "par_step", "vpd_step", F.round("t_sii", 5).alias("t_sii"))
 
 
-def spectra(spark, d, draws=50):
+def spectra(spark, d, draws=C.SURROGATES, windows=C.MA_WINDOWS):
     residuals = binned_panel(spark, d).where("bin_label = 'Optimum'").select("date", c("y").alias("residual"))
-    return M.surrogate_spectra(spark, residuals, daily(spark, d).select("date", "sii_mean"), "sii_mean", [*range(18, 33)], draws)
+    return M.surrogate_spectra(spark, residuals, daily(spark, d).select("date", "sii_mean"), "sii_mean", windows, draws)
 
 
 _sur = f"{_kind}, {DAILY}, res AS (SELECT date, y FROM pb WHERE bin_label = 'Optimum' AND y IS NOT NULL), days AS (SELECT date, sii_mean AS x, row_number() OVER (ORDER BY date) AS i FROM daily WHERE sii_mean IS NOT NULL AND date IN (SELECT date FROM res))"
@@ -225,7 +225,7 @@ def _(spark, d):
 
 @query("J11_observed_spectrum", f"WITH {_sur}, ma AS (" + " UNION ALL ".join(f"SELECT date, i, {w} AS win, avg(x) OVER (ORDER BY i ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS m FROM days" for w in (20, 25, 30)) + "), u AS (SELECT win, round(m, 9) AS m, y FROM ma JOIN res USING (date) WHERE i > 32), k AS (SELECT win, " + avg_rank_sql("m", "win") + " AS a, " + avg_rank_sql("y", "win") + " AS b FROM u) SELECT CAST(win AS INTEGER) AS \"window\", round(" + corr_sql("a", "b") + ", 6) AS rho FROM k GROUP BY win")
 def _(spark, d):
-    return spectra(spark, d, 1).where("kind = 'observed' and window in (20, 25, 30)").select("window", r6("rho").alias("rho"))
+    return spectra(spark, d, 1, range(18, 33)).where("kind = 'observed' and window in (20, 25, 30)").select("window", r6("rho").alias("rho"))
 
 
 @query("A22_surrogate_tests")

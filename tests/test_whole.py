@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from gridloom import config as C
 from gridloom.plans import standins
 
 
@@ -10,3 +12,8 @@ def test_results_have_a_row_for_every_part(spark, tmp_path):
     got = standins.results(spark, str(tmp_path))
     assert got.count() == 5000
     assert got.agg(F.min("window"), F.max("window")).first() == (1, standins.RESULT_WINDOWS)
+
+
+def test_surrogates_are_drawn_in_full_over_all_windows(spark):
+    got = __spark_entry__.queries()["K12_surrogates"](spark, "/root/testdata/sf0.001").groupBy("kind").agg(F.countDistinct("surrogate_id").alias("draws"), F.countDistinct("window").alias("windows"))
+    assert {tuple(r) for r in got.collect()} == {("observed", 1, len(C.MA_WINDOWS)), ("surrogate", C.SURROGATES, len(C.MA_WINDOWS))}
