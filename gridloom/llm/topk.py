@@ -8,7 +8,7 @@ bound is below the k-th score found so far is out, and the rest get their exact
 Query and data vectors are packed into blocks; every query block meets every part of the data
 once, and a query keeps k candidates of a block. Nulls: vectors that are null or hold null or
 non-finite components, and rows without id, take no part; vectors of another length than the query's
-are no candidates; rows with the query's id count as its own row; other columns are not read. Ties go to
+are no candidates; rows with the query's id count as its own row; repeated rows are candidates, and queries, each for itself, as in the SQL; other columns are not read. Ties go to
 the smaller id. Empty tables return no rows.
 """
 
@@ -61,7 +61,7 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     """(query, id, score) of the k best of the block for each query; exact, all if fewer."""
     dim = q.shape[1]
     if not dim:
-        pairs = [(i, j, 0) for i in q_ids for j in sorted(set(ids) - {i})[:k]]
+        pairs = [(i, j, 0) for i in q_ids for j in np.sort(ids[ids != i])[:k]]
         return [(int(i), int(j), s) for i, j, s in pairs]
     # Doubles are exact while no sum can pass 2^53; else 64-bit integers.
     exact = np.float64 if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dim < 2.0**53 else np.int64
@@ -126,4 +126,4 @@ def top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_c
     pairs = data.join(asked, ["part", "dim"]).select("dim", "ids", "data", "q_ids", "q_data").repartition(max(1, min(200, parts * BLOCKS_A_PART)))
     found = pairs.mapInArrow(search, "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

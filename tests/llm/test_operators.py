@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gridloom.llm import audio, bpe, components, language_model, minhash, packing, secrets, sharding, token_counts, topk, toxicity
+from gridloom.llm import audio, bpe, components, language_model, minhash, packing, queries, secrets, sharding, token_counts, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, digest string, shard int, key string"
 LONG = " ".join(f"w{i % 977}x{i * i % 89}" for i in range(30_000))
@@ -254,6 +254,19 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(table.limit(0), table.vec_id % 50 == 0, 5).collect() == []
 
 
+def test_top_k_counts_repeated_rows_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 120)]
+    rows = [*vectors, *[vectors[7]] * 6, *[(30, [float(x) for x in rng.normal(size=8) * 3]) for _ in range(5)], vectors[49], *[(200 + i // 3, []) for i in range(9)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op5_segment_topk"]).fetchall()
+    assert sorted(tuple(r) for r in queries.op5_segment_topk(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.normal(size=(20, 50)) * 100, rng.normal(size=(60, 50)) * 100
