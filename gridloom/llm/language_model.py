@@ -6,17 +6,18 @@ steps whose tables lie in the shared folder:
 1. ``tokens``: documents are gathered into chunks of a bounded number of tokens, bucketed by chunk;
 2. ``words``: every chunk sends each word's count once to the word's bucket. The bucket keeps the
    unigram table, gives each known word a number, and answers every chunk with counts and numbers;
-3. ``pairs``: every chunk sends each of its distinct pairs once to the bucket of the pair's history (a hot
-   history is spread over all buckets). The bucket keeps the bigram table and answers with the
-   pair's count and, for the history, how many of its followers occur 1 to 5 times and how much
-   unigram probability its followers have;
+3. ``pairs``: every chunk sends each of its distinct pairs once to the bucket of the pair's history (a history
+   is spread over a bucket more for every ``HOT_TOKENS`` of its tokens). The bucket keeps the bigram table and answers
+   with the pair's count and, for the history, how many of its followers occur 1 to 5 times and how much
+   unigram probability its followers have; what the buckets of a spread history know is summed and joined to
+   the chunks that have it;
 4. scoring: every chunk looks its tokens up in its answers, backing off from pair to word to unknown word.
 
 So a pair is shuffled once for each chunk that has it, however often it occurs, and no task holds more than a
-chunk or a bucket. The driver sees a few sums and the hot histories, of which there are ``HOT`` at most.
+chunk or a bucket. The driver sees a few sums only.
 
-Discounts: d_r after Katz for r up to 5 from the counts of counts; where those give no number between 0 and 1,
-absolute discounting n1 / (n1 + 2 n2) (0.5 if undefined) takes their place. A history whose followers leave no mass
+Discounts: Good-Turing counts r* for r up to 5, see ``good_turing``; after Katz, discounts are in proportion to
+1 - r*/r and take away as much as occurs once. A history whose followers leave no mass
 keeps back one count. Unknown words share the mass that unigram discounts leave, equally among as many
 words as occur once. Every distribution sums to one.
 
@@ -42,8 +43,10 @@ from gridloom.llm.base import drop_table, new_table, release
 
 #: Tokens of a chunk; tokens of a bucket on average; counts that are discounted.
 CHUNK, BUCKET, CUTOFF = 1_000_000, 2_000_000, 5
-#: Hot histories there are at most; tokens from which a history may be hot.
-HOT, HOT_TOKENS = 100_000, 500_000
+#: Tokens of a history for each bucket that it is spread over.
+HOT_TOKENS = 500_000
+#: Counts of counts are kept one by one up to CUTOFF + 1, and by powers of two for the line that smooths them.
+POWERS, STEEPNESS, LEAST_DISCOUNT = 48, -2.0, 0.05
 #: Not words, as words hold no space; the number of the start mark as a history.
 END, START = b" end", 0
 
@@ -128,7 +131,7 @@ def _ask_words(n: int):
     return run
 
 
-#: kind answer: what a chunk gets; kind table: the n-grams and counts of a bucket; kind sums: counts of counts; kind hot: partial sums of histories.
+#: kind answer: what a chunk gets (of pairs, with the spread histories among its own as numbers); kind table: the n-grams and counts of a bucket; kind sums: counts of counts; kind hot: partial sums of spread histories.
 KEPT = "bucket int, chunk long, a binary, b binary, c binary, d binary, numbers array<double>, kind string"
 
 
@@ -137,8 +140,10 @@ def _kept(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in KEPT.split(", ")])
 
 
-def _counts_of_counts(total: np.ndarray) -> list[float]:
-    return [float(np.count_nonzero(total == r)) for r in range(1, CUTOFF + 2)]
+def counts_of_counts(total: np.ndarray) -> list[float]:
+    """How many n-grams occur 1 .. CUTOFF + 1 times, then how many from 2^i up to 2^(i + 1)."""
+    total = total[total > 0]
+    return [float(np.count_nonzero(total == r)) for r in range(1, CUTOFF + 2)] + np.bincount(np.log2(total).astype(int), minlength=POWERS).astype(float).tolist()
 
 
 def _count_words(n: int):
@@ -157,29 +162,63 @@ def _count_words(n: int):
             out.append((bucket, chunk, pack(number[at]), pack(total[at]), None, None, None, "answer"))
         known = total > 0
         out.append((bucket, None, keys[known].tobytes(), pack(number[known]), pack(total[known]), None, None, "table"))
-        out.append((bucket, None, None, None, None, None, [float(total.sum()), float(known.sum()), *_counts_of_counts(total)], "sums"))
+        out.append((bucket, None, None, None, None, None, [float(total.sum()), float(known.sum()), *counts_of_counts(total)], "sums"))
         return _kept(out)
 
     return run
 
 
-def discounts(n: list[float]) -> np.ndarray:
-    """d_0 .. d_CUTOFF from the counts of counts n_1 .. n_{CUTOFF + 1} (d_0 is not used)."""
-    d = np.ones(CUTOFF + 1)
-    if all(n) and (common := (CUTOFF + 1) * n[CUTOFF] / n[0]) < 1:
-        for r in range(1, CUTOFF + 1):
-            d[r] = ((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common)
-    if not np.all((d[1:] > 0) & (d[1:] < 1)):
-        off = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d[1:] = 1 - off / np.arange(1, CUTOFF + 1)
-    return d
+def steepness(powers: list[float]) -> float:
+    """Slope of the line through log(n-grams that occur r times) over log r, from numbers by powers of two of r.
+
+    Powers weigh as many as n-grams they hold. With fewer than two powers, or a line not falling faster than 1 / r (whose
+    Good-Turing counts would not lie below r), Zipf's -2 takes its place.
+    """
+    n, at = np.array(powers), np.arange(len(powers))
+    some = n > 0
+    if some.sum() < 2:
+        return STEEPNESS
+    low = 2.0 ** at[some]
+    x, y, w = np.log(low * (2 * low - 1)) / 2, np.log(n[some] / low), n[some]
+    x, y = x - np.average(x, weights=w), y - np.average(y, weights=w)
+    slope = float((w * x * y).sum() / (w * x * x).sum())
+    return slope if slope < -1 else STEEPNESS
+
+
+def good_turing(counts: list[float]) -> tuple[np.ndarray, int]:
+    """(r* for r = 0 .. CUTOFF, how many of them are plain) from ``counts_of_counts``; r*_0 is not used.
+
+    After Gale and Sampson: the plain estimate (r + 1) n_{r+1} / n_r for r = 1, 2, ..., as long as it lies above the
+    one before and below r; from the first that doesn't, the estimate by the fitted line, r (1 + 1/r)^(slope + 1).
+    """
+    n, slope, stars, plain = counts[: CUTOFF + 1], steepness(counts[CUTOFF + 1 :]), np.zeros(CUTOFF + 1), 0
+    for r in range(1, CUTOFF + 1):
+        star = (r + 1) * n[r] / n[r - 1] if n[r - 1] else 0.0
+        if plain == r - 1 and stars[r - 1] < star < r:
+            stars[r], plain = star, r
+        else:
+            stars[r] = r * (1 + 1 / r) ** (slope + 1)
+    return stars, plain
+
+
+def discounts(counts: list[float]) -> np.ndarray:
+    """d_0 .. d_CUTOFF from ``counts_of_counts`` (d_0 is not used).
+
+    1 - d_r is in proportion to 1 - r*/r, and all discounts together take the count n_1 away, as Katz has it; less
+    where a discount would fall below LEAST_DISCOUNT. Without n-grams that occur once nothing is taken.
+    """
+    r, n = np.arange(1, CUTOFF + 1), np.array(counts[:CUTOFF])
+    lost = 1 - good_turing(counts)[0][1:] / r
+    all_lost = float((lost * r * n).sum())
+    scale = min(n[0] / all_lost, (1 - LEAST_DISCOUNT) / lost.max()) if all_lost > 0 else 0.0
+    return np.r_[1.0, 1 - scale * lost]
 
 
 class Unigrams:
     """Discounted word probabilities; what discounts leave is shared by unknown words."""
 
     def __init__(self, sums: list[float]):
-        self.n, self.v, self.counts = sums[0], sums[1], sums[2:]
+        self.n, self.v, self.counts = sums[0], sums[1], sums[2:]  # counts as ``counts_of_counts`` gives them
         self.d = discounts(self.counts)
         kept = sum((1 - self.d[r]) * r * self.counts[r - 1] for r in range(1, CUTOFF + 1))
         self.over = self.n if kept > 0 or not self.n else self.n + 1  # without discounted words, one count is kept back
@@ -197,7 +236,7 @@ class Unigrams:
 class Chunk:
     """A chunk with its words' answers: numbers and counts of all tokens, and its distinct known pairs."""
 
-    def __init__(self, hashes: bytes, answers: list, stream: bytes, lengths: list[int], held: list[bool], buckets: int):
+    def __init__(self, hashes: bytes, answers: list, stream: bytes, lengths: list[int], held: list[bool], buckets: int, starts: float, spread_from: int):
         hashes = np.frombuffer(hashes, "<u8")
         number, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         at = _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)
@@ -208,7 +247,7 @@ class Chunk:
         first = np.r_[0, np.cumsum(self.lengths)[:-1]]
         # Local numbers of pairs; two more of them stand for the start mark and for any unknown word.
         start, unknown, width = len(hashes), len(hashes) + 1, len(hashes) + 2
-        number, word_count = np.r_[number, START, 0], np.r_[count, 0, 0]
+        number, word_count = np.r_[number, START, 0], np.r_[count, int(starts), 0]
         history = np.r_[0, local[:-1]]
         history[first] = start
         self.of = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -218,31 +257,25 @@ class Chunk:
         self.trained = np.bincount(self.pair_of[train], minlength=len(pairs))
         h, w = pairs // width, pairs % width
         self.history, self.word, self.history_count, self.follower_count = number[h], number[w], word_count[h], word_count[w]
+        self.spread = 1 + self.history_count // spread_from
 
 
-def _bucket_of(history: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    mixed = _mixed(history)
-    if len(hot):
-        mixed = np.where(np.isin(history, hot), _mixed(word + history), mixed)
-    return ((mixed >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
+    def by_bucket(self, n: int) -> list[np.ndarray]:
+        """Pairs of each of n buckets, by history and word. A spread history has as many buckets as it is spread over."""
+        part = (_mixed(self.word) >> np.uint64(8)) % self.spread.astype(np.uint64)
+        bucket = ((_mixed(self.history.astype(np.uint64) + (part << np.uint64(40))) >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
+        return [p[np.lexsort((self.word[p], self.history[p]))] for p in _by_bucket(bucket, n)]
 
 
-def _hot_of(chunk: Chunk, least: float) -> np.ndarray:
-    """Hot histories among the chunk's; the start mark is hot."""
-    return np.unique(np.r_[START, chunk.history[chunk.history_count >= least]])
-
-
-def _ask_pairs(words: int, buckets: int, least: float):
+def _ask_pairs(words: int, buckets: int, starts: float, spread_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 chunk, hashes, stream, lengths, held, answers = (batch.column(c)[row].as_py() for c in range(6))
-                c = Chunk(hashes, answers, stream, lengths, held, words)
-                for b, p in enumerate(_by_bucket(_bucket_of(c.history, c.word, _hot_of(c, least), buckets), buckets)):
+                c = Chunk(hashes, answers, stream, lengths, held, words, starts, spread_from)
+                for b, p in enumerate(c.by_bucket(buckets)):
                     if len(p):
-                        p = p[np.lexsort((c.word[p], c.history[p]))]
-                        hot = np.isin(c.history[p], _hot_of(c, least))
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([pack(x[p])]) for x in (c.history, c.word, c.trained, c.follower_count)), pa.array([pack(hot)])], ["bucket", "chunk", "history", "word", "trained", "followers", "hot"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([pack(x[p])]) for x in (c.history, c.word, c.trained, c.follower_count)), pa.array([pack(c.spread[p] > 1)])], ["bucket", "chunk", "history", "word", "trained", "followers", "hot"])
 
     return run
 
@@ -260,6 +293,8 @@ def _count_pairs(unigrams: Unigrams):
         of, seen = h[first], total > 0
         mass = np.bincount(of[seen], unigrams.probability(np.concatenate(followers)[first][seen]), len(histories))
         rare = np.stack([np.bincount(of[total == r], minlength=len(histories)) for r in range(1, CUTOFF + 1)])
+        is_hot = np.zeros(len(histories), bool)
+        is_hot[h[np.concatenate(hot) > 0]] = True
         out, begin = [], 0
         for chunk, size in zip(chunks, sizes):
             at = slice(begin, begin + size)
@@ -267,13 +302,11 @@ def _count_pairs(unigrams: Unigrams):
             # Weights are asked for by pairs that training hasn't; of other histories only whether a follower is rare.
             mine, asked = np.unique(h[at]), total[where[at]]
             backed = np.unique(h[at][asked == 0])
-            out.append((bucket, chunk, pack(asked), pack(rare[:, mine].any(axis=0)), mass[backed].astype("<f8").tobytes(), pack(rare[:, backed].ravel()), None, "answer"))
-        is_hot = np.zeros(len(histories), bool)
-        is_hot[h[np.concatenate(hot) > 0]] = True
+            out.append((bucket, chunk, pack(asked), pack(rare[:, mine].any(axis=0)), mass[backed].astype("<f8").tobytes(), pack(rare[:, backed].ravel()), histories[mine[is_hot[mine]]].astype(float).tolist(), "answer"))
         for i in np.flatnonzero(is_hot):
             out.append((bucket, None, None, None, None, None, [float(histories[i]), mass[i], *map(float, rare[:, i])], "hot"))
         out.append((bucket, None, pack(histories[of[seen]]), pack(words[w[first][seen]]), pack(total[seen]), None, None, "table"))
-        out.append((bucket, None, None, None, None, None, _counts_of_counts(total), "sums"))
+        out.append((bucket, None, None, None, None, None, counts_of_counts(total), "sums"))
         return _kept(out)
 
     return run
@@ -286,28 +319,28 @@ def backoff(count: np.ndarray, rare: np.ndarray, mass: np.ndarray, d: np.ndarray
     return over, np.where(kept > 0, kept, 1.0) / over / (1 - mass)
 
 
-def _score(words: int, buckets: int, least: float, unigrams: Unigrams, d: np.ndarray, starts: float, hot_sums: dict[int, np.ndarray]):
+def _score(words: int, buckets: int, unigrams: Unigrams, d: np.ndarray, starts: float, spread_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, hashes, stream, lengths, held, answers, ids, found = (batch.column(c)[row].as_py() for c in range(8))
-                c = Chunk(hashes, answers, stream, lengths, held, words)
+                _, hashes, stream, lengths, held, answers, ids, found, hot = (batch.column(c)[row].as_py() for c in range(9))
+                c = Chunk(hashes, answers, stream, lengths, held, words, starts, spread_from)
+                sums_of = {int(x["history"]): np.array(x["sums"]) for x in hot or []}
                 probability = unigrams.probability(c.count)
-                at = _by_bucket(_bucket_of(c.history, c.word, _hot_of(c, least), buckets), buckets)
+                at = c.by_bucket(buckets)
                 total, over, weight = np.zeros(len(c.history), np.int64), np.ones(len(c.history)), np.ones(len(c.history))
-                count = np.where(c.history == START, starts, c.history_count)
+                count = c.history_count
                 for a in found or []:
                     p = at[a["bucket"]]
-                    p = p[np.lexsort((c.word[p], c.history[p]))]
                     total[p] = unpack(a["a"])
                     own, h = np.unique(c.history[p], return_inverse=True)
                     some, backed = unpack(a["b"]) > 0, np.unique(h[total[p] == 0])
                     rare, mass = np.zeros((CUTOFF, len(own))), np.zeros(len(own))
                     rare[:, backed], mass[backed] = unpack(a["d"]).reshape(CUTOFF, len(backed)), np.frombuffer(a["c"], "<f8")
-                    for i in np.flatnonzero(np.isin(own, [*hot_sums])):
-                        rare[:, i], mass[i] = hot_sums[int(own[i])][1:], hot_sums[int(own[i])][0]
+                    for i in np.flatnonzero(np.isin(own, [*sums_of])):
+                        rare[:, i], mass[i] = sums_of[int(own[i])][1:], sums_of[int(own[i])][0]
                         some[i] = rare[:, i].any()
-                    over[p] = np.where(some[h], count[p], count[p] + 1.0)
+                    over[p] = np.where(some[h] & (d[1] < 1), count[p], count[p] + 1.0)
                     weight[p] = backoff(count[p], rare[:, h], mass[h], d)[1]
                 discounted = np.where(total > CUTOFF, 1.0, d[np.minimum(total, CUTOFF)]) * total / over
                 pair, known = c.pair_of, c.known
@@ -332,13 +365,10 @@ class KatzModel:
         total, self.starts = self.tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(train), F.lit(0))).first()
         self.buckets = max(1, -(-total // BUCKET))
         self.words = self._kept("words", self.tokens.select("chunk", "hashes", "counts").mapInArrow(_ask_words(self.buckets), "bucket int, chunk long, hashes binary, counts binary"), _count_words(self.buckets))
-        self.unigrams = Unigrams(self._sums(self.words, CUTOFF + 3))
-        self.least = max(HOT_TOKENS, self.unigrams.n / HOT)
-        asked = self._with_answers().mapInArrow(_ask_pairs(self.buckets, self.buckets, self.least), "bucket int, chunk long, history binary, word binary, trained binary, followers binary, hot binary")
+        self.unigrams = Unigrams(self._sums(self.words, CUTOFF + 3 + POWERS))
+        asked = self._with_answers().mapInArrow(_ask_pairs(self.buckets, self.buckets, float(self.starts), HOT_TOKENS), "bucket int, chunk long, history binary, word binary, trained binary, followers binary, hot binary")
         self.pairs = self._kept("pairs", asked, _count_pairs(self.unigrams))
-        self.d = discounts(self._sums(self.pairs, CUTOFF + 1))
-        hot = self.pairs.where(F.col("kind") == "hot").groupBy(F.col("numbers")[0].alias("history")).agg(*[F.sum(F.col("numbers")[i]).alias(f"x{i}") for i in range(1, CUTOFF + 2)])
-        self.hot = {int(r[0]): np.array(r[1:]) for r in hot.collect()}  # HOT at most, and the start mark
+        self.d = discounts(self._sums(self.pairs, CUTOFF + 1 + POWERS))
 
     def _bucketed(self, tokens: DataFrame, n: int) -> DataFrame:
         """Bucketed by chunk, so that answers come to the chunks and the chunks stay where they are."""
@@ -358,13 +388,19 @@ class KatzModel:
     def _answers(self, kept: DataFrame, name: str) -> DataFrame:
         return kept.where(F.col("kind") == "answer").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d")).alias(name))
 
+    def _hot(self) -> DataFrame:
+        """chunk, hot: what is known of the spread histories of a chunk."""
+        sums = self.pairs.where(F.col("kind") == "hot").groupBy(F.col("numbers")[0].alias("history")).agg(F.array(*[F.sum(F.col("numbers")[i]) for i in range(1, CUTOFF + 2)]).alias("sums"))
+        asked = self.pairs.where(F.col("kind") == "answer").select("chunk", F.explode("numbers").alias("history")).distinct()
+        return asked.join(sums, "history").groupBy("chunk").agg(F.collect_list(F.struct("history", "sums")).alias("hot"))
+
     def _with_answers(self) -> DataFrame:
         return self.tokens.join(self._answers(self.words, "answers"), "chunk").select("chunk", "hashes", "stream", "lengths", "held", "answers", "ids")
 
     def score(self) -> DataFrame:
         """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document of the corpus."""
-        asked = self._with_answers().join(self._answers(self.pairs, "found"), "chunk", "left").select("chunk", "hashes", "stream", "lengths", "held", "answers", "ids", "found")
-        run = _score(self.buckets, self.buckets, self.least, self.unigrams, self.d, float(self.starts), self.hot)
+        asked = self._with_answers().join(self._answers(self.pairs, "found"), "chunk", "left").join(self._hot(), "chunk", "left").select("chunk", "hashes", "stream", "lengths", "held", "answers", "ids", "found", "hot")
+        run = _score(self.buckets, self.buckets, self.unigrams, self.d, float(self.starts), HOT_TOKENS)
         return asked.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", self.id_col)
 
     def drop(self) -> None:

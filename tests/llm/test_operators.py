@@ -354,6 +354,26 @@ def test_pieces_tile_documents_and_sequences(spark):
 # --- language model ------------------------------------------------------------------------------
 
 
+def brute_discounts(counts):
+    """Good-Turing after Katz from the counts themselves, written apart from the operator."""
+    n, powers = Counter(counts), Counter(c.bit_length() - 1 for c in counts)
+    points = [(math.log(math.sqrt(2**i * (2 ** (i + 1) - 1))), math.log(m / 2**i), m) for i, m in powers.items()]
+    slope = -2.0
+    if len(points) > 1:
+        all_ = sum(m for *_, m in points)
+        mx, my = sum(x * m for x, _, m in points) / all_, sum(y * m for _, y, m in points) / all_
+        fitted = sum(m * (x - mx) * (y - my) for x, y, m in points) / sum(m * (x - mx) ** 2 for x, _, m in points)
+        slope = fitted if fitted < -1 else slope
+    stars, line = [0.0], False
+    for r in range(1, 6):
+        star = (r + 1) * n[r + 1] / n[r] if n[r] else 0.0
+        line = line or not stars[-1] < star < r
+        stars.append(r * ((r + 1) / r) ** (slope + 1) if line else star)
+    taken = sum((r - stars[r]) * n[r] for r in range(1, 6))
+    scale = min(n[1] / taken, 0.95 / max(1 - stars[r] / r for r in range(1, 6))) if taken else 0.0
+    return [1.0] + [1 - scale * (1 - stars[r] / r) for r in range(1, 6)]
+
+
 def brute_katz(docs):
     split = {i: ((t or "").encode().lower().split() + [None], zlib.crc32(str(i).encode()) % 10 == 0) for i, t in docs}
     words, pairs = Counter(), Counter()
@@ -362,13 +382,12 @@ def brute_katz(docs):
             words.update(d)
             pairs.update(zip(["start", *d], d))
     n, v = sum(words.values()), len(words)
-    count = lambda c: [float(sum(x == r for x in c.values())) for r in range(1, 7)]
-    d1, d2 = language_model.discounts(count(words)), language_model.discounts(count(pairs))
+    d1, d2 = brute_discounts([*words.values()]), brute_discounts([*pairs.values()])
     kept = lambda cs, d: sum((1 - d[c]) * c for c in cs if c <= 5)
     left = kept(words.values(), d1)
     over = n if left else n + 1
     p1 = {w: (d1[c] if c <= 5 else 1) * c / over for w, c in words.items()}
-    unknown = ((left or 1) / over if n else 1) / max(1, count(words)[0])
+    unknown = ((left or 1) / over if n else 1) / max(1, sum(x == 1 for x in words.values()))
     followers = defaultdict(dict)
     for (h, w), c in pairs.items():
         followers[h][w] = c
@@ -401,18 +420,41 @@ def test_katz_scores_equal_brute_force(spark, monkeypatch, chunk):
 
 
 def test_katz_distributions_sum_to_one():
-    unigrams = language_model.Unigrams([1000.0, 300.0, 150.0, 60.0, 30.0, 20.0, 12.0, 8.0])
     counts = np.repeat([1, 2, 3, 4, 5, 19], [150, 60, 30, 20, 12, 1]).astype(int)
-    unigrams.n = float(counts.sum())
-    small = language_model.Unigrams([float(counts.sum()), float(len(counts)), *(float((counts == r).sum()) for r in range(1, 7))])
+    of_counts = language_model.counts_of_counts(counts)
+    small = language_model.Unigrams([float(counts.sum()), float(len(counts)), *of_counts])
     assert abs(small.probability(counts).sum() + small.unknown * max(1, (counts == 1).sum()) - 1) < 1e-12
-    d = language_model.discounts([9.0, 4.0, 2.0, 1.0, 1.0, 1.0])
+    d = language_model.discounts(of_counts)
     rare, mass = np.array([[3], [1], [0], [0], [0]]), np.array([0.25])
     over, weight = language_model.backoff(np.array([11.0]), rare, mass, d)
     seen = (3 * d[1] + 2 * d[2] + 6) / over[0]
     assert abs(seen + weight[0] * (1 - mass[0]) - 1) < 1e-12
 
 
+@pytest.mark.parametrize("counts", [[], [1], [1] * 9, [2] * 9, [1, 1, 2, 7, 300], [1] * 50 + [2] * 20 + [3] * 11 + [4] * 3 + [5] * 9 + [6] * 2])
+def test_discounts_of_odd_counts(counts):
+    d = language_model.discounts(language_model.counts_of_counts(np.array(counts, int)))
+    assert np.allclose(d, brute_discounts(counts))
+    assert np.all((d[1:] > 0) & (d[1:] <= 1))
+
+
+def test_discounts_of_documents_are_good_turing(spark):
+    """On the given documents the counts of counts decide, and what occurs once is taken away in all."""
+    words, pairs = Counter(), Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        if not language_model.is_held_out(r.doc_id):
+            d = [*(r.text or "").encode().lower().split(), None]
+            words.update(d)
+            pairs.update(zip(["start", *d], d))
+    for counted in (words, pairs):
+        n = language_model.counts_of_counts(np.array([*counted.values()]))
+        stars, plain = language_model.good_turing(n)
+        d = language_model.discounts(n)
+        assert plain >= 2 and language_model.steepness(n[6:]) != language_model.STEEPNESS
+        assert np.all((stars[1:] > 0) & (stars[1:] < np.arange(1, 6))) and np.all((d[1:] > 0) & (d[1:] < 1))
+        assert abs(sum((1 - d[r]) * r * n[r - 1] for r in range(1, 6)) / n[0] - 1) < 1e-9
+
+
 def test_katz_edge_cases(spark):
     got = language_model.KatzModel(edge_docs(spark)).score().collect()
     assert len(got) == len(TEXTS) + 3
