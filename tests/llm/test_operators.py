@@ -267,6 +267,35 @@ def test_top_k_counts_repeated_rows_as_the_sql_does(spark, tmp_path):
     assert sorted(tuple(r) for r in queries.op5_segment_topk(spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def test_top_k_over_many_blocks_and_parts(spark, monkeypatch):
+    """The same rows whatever the blocks, with vectors of several lengths and values beyond exact doubles."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=(16, 16, 5)[i % 3]) * (1e6 if i % 3 == 2 else 1)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in topk.top_k(table, table.vec_id % 50 == 0, 5).collect()}
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "BLOCKS_A_PART", 3)
+    assert {tuple(r) for r in topk.top_k(table, table.vec_id % 50 == 0, 5).collect()} == whole
+    ints = [(i, [int(math.floor(256 * x)) for x in v]) for i, v in rows]
+    for i, q in ints[::50]:
+        order = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in ints if j != i and len(x) == len(q))[:5]
+        assert {(r[1], r[2], -r[3]) for r in whole if r[0] == i} == {(n + 1, j, s) for n, (s, j) in enumerate(order)}
+
+
+def test_segments_rule_pairs_out(spark):
+    """Exact scores are taken of what the segments leave: little of vectors in groups, half of vectors without structure."""
+    rng = np.random.default_rng(9)
+    centres = np.repeat(rng.normal(size=(40, 16)), 4, axis=1)
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=64) * 0.1]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    grouped = topk.top_k(table, table.vec_id % 50 == 0, 5, share=True).first()
+    assert grouped.pairs == 40 * 2000 and grouped.exact < 0.05 * grouped.pairs
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    plain = topk.top_k(given, given.vec_id % 50 == 0, 5, share=True).first()
+    assert plain.pairs == 40 * 2000 and plain.exact < 0.5 * plain.pairs
+    print("share of exact scores:", grouped.exact / grouped.pairs, plain.exact / plain.pairs)
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.normal(size=(20, 50)) * 100, rng.normal(size=(60, 50)) * 100
