@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -10,8 +11,11 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, single machine).
+#: Used only where the session names no checkpoint folder and runs on a single machine.
 OWN_FOLDER = "/tmp/checkpoints/gridloom"
+#: What ``clean`` removes: paths below the shared folder, and tables of the catalog, of this process.
+_paths: list[str] = []
+_names: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, made the checkpoint folder if the session has none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named or OWN_FOLDER)
     return named or OWN_FOLDER
@@ -34,7 +40,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 def new_table(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_folder(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def catalogued(name: str) -> str:
+    """``name``, of a table in the catalog that ``clean`` drops."""
+    _names.append(name)
+    return name
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that operators have written so far; results that aren't written yet are lost with it."""
+    while _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop()}")
+    while _paths:
+        drop_table(spark, _paths.pop())
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    """What a session that still runs at the end of the process has left over."""
+    with contextlib.suppress(Exception):
+        if (spark := SparkSession.getActiveSession()) and (_paths or _names):
+            clean(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import drop_table, new_table, release
+from gridloom.llm.base import catalogued, new_table, release
 
 #: Tokens of a chunk; tokens of a bucket on average; counts that are discounted.
 CHUNK, BUCKET, CUTOFF = 1_000_000, 2_000_000, 5
@@ -372,7 +372,7 @@ class KatzModel:
 
     def _bucketed(self, tokens: DataFrame, n: int) -> DataFrame:
         """Bucketed by chunk, so that answers come to the chunks and the chunks stay where they are."""
-        name = "gridloom_tokens_" + self.path.rpartition("-")[2]
+        name = catalogued("gridloom_tokens_" + self.path.rpartition("-")[2])
         tokens.write.bucketBy(n, "chunk").option("path", f"{self.path}/tokens").saveAsTable(name)
         return self.spark.table(name)
 
@@ -402,7 +402,3 @@ class KatzModel:
         asked = self._with_answers().join(self._answers(self.pairs, "found"), "chunk", "left").join(self._hot(), "chunk", "left").select("chunk", "hashes", "stream", "lengths", "held", "answers", "ids", "found", "hot")
         run = _score(self.buckets, self.buckets, self.unigrams, self.d, float(self.starts), HOT_TOKENS)
         return asked.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", self.id_col)
-
-    def drop(self) -> None:
-        """Remove the model's tables; scores not yet written are lost with them."""
-        drop_table(self.spark, self.path)

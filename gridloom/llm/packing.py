@@ -4,11 +4,13 @@ Documents (their ids and an end id) are cut freely. Windows of the longest tier
 rest of a document is routed to the smallest tier that holds it. Each tier's windows are packed from
 the largest rest down, gaps are filled with the largest rests of shorter tiers that fit, and a
 gap that none fits takes a cut-off part of the shortest. What is left at the end of a task is cut into
-powers of two, so that no sequence has padding. Step groups hold sequences of one tier and
-about the same number of tokens.
+powers of two, so that no sequence has padding. Step groups hold sequences of one tier and are numbered over
+the whole table: the tokens of a tier, task after task, are cut into as many groups as hold ``STEP_TOKENS``
+each, all equal to within a sequence.
 
 A task packs the rows of its own partition, without a shuffle; it holds the ids of ``PENDING`` rests
-at most. A lost task is packed again as a whole. Nulls and empty texts are documents of
+at most. The pieces are written to the shared folder, as groups need the sums of all tasks: a number for each task and
+tier, added up in a window over those alone. A lost task is packed again as a whole. Nulls and empty texts are documents of
 the end id alone; a null id keeps its pieces; a long text gives as many windows as it fills; repeated
 rows are documents of their own; an empty table has no pieces; other columns are not read.
 """
@@ -25,13 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from gridloom.llm.base import Memo, trim
+from gridloom.llm.base import Memo, cut, trim, written
 from gridloom.llm.bpe import byte_alphabet
 
 #: Context sizes, the longest first; tokens of a step group; rests that a task holds before it packs them.
 TIERS, STEP_TOKENS, PENDING = (4096, 2048, 1024, 512, 256), 65_536, 4096
+#: Bits of a sequence's number inside its task; sums of tasks that are broadcast, beyond them pieces are shuffled.
+TASK_BITS, BROADCAST_SUMS = 36, 500_000
 #: Entries of a generation of a worker's memo of words, and of its memo of their parts.
 MEMO = 300_000
 #: Python splits at these, the tokenizer's \s does not.
@@ -121,11 +126,11 @@ class Packer:
     def _sequence(self, parts: list[tuple[int, int, np.ndarray]]) -> None:
         size = sum(len(x) for _, _, x in parts)
         tier = next((t for t in reversed(self.tiers) if t >= size), size)
-        n = self.steps[tier] = self.steps.get(tier, 0) + size
-        group, offset = (n - 1) // STEP_TOKENS, 0
+        before, offset = self.steps.get(tier, 0), 0
+        self.steps[tier] = before + size
         for at, start, ids in parts:
             doc_id, tokens = self.docs[at]
-            self.pieces.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.task << 36 | self.sequences, offset, tier, group))
+            self.pieces.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.task << TASK_BITS | self.sequences, offset, tier, before))
             offset += len(ids)
         self.sequences += 1
 
@@ -182,10 +187,10 @@ def tokenizer_file_is_ascii_safe(path: str) -> bool:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group."""
+    """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (from 0 in each tier)."""
     if not tokenizer_file_is_ascii_safe(tokenizer_path):
         raise ValueError("the tokenizer looks past white space; its words can't be encoded apart")
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "before"]
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -208,4 +213,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "d
         del packer
         trim()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])).withColumnRenamed("id", id_col)
+    pieces = written(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])), "pieces")
+    return grouped(pieces).withColumnRenamed("id", id_col)
+
+
+def grouped(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with step_group in place of before, the tokens that the task had put into the tier before the sequence."""
+    task = F.shiftright("sequence_id", TASK_BITS).alias("task")
+    sums = pieces.groupBy(task, "tier").agg(F.sum("length").alias("tokens"))
+    so_far = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("task", "tier", F.coalesce(F.sum("tokens").over(so_far), F.lit(0)).alias("base"), F.sum("tokens").over(Window.partitionBy("tier")).alias("all"))
+    sums = cut(sums)
+    if sums.count() <= BROADCAST_SUMS:
+        sums = F.broadcast(sums)
+    groups = F.greatest(F.lit(1), F.round(F.col("all") / STEP_TOKENS)).cast("long")
+    group = F.floor(((F.col("base") + F.col("before")) / F.col("all")) * groups)
+    return pieces.withColumn("task", task).join(sums, ["task", "tier"]).select("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", group.cast("long").alias("step_group"))
