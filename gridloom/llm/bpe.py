@@ -3,7 +3,8 @@
 The symbols of many words lie in one flat array. In each round the pairs of neighbours inside a word are
 looked up by binary search in the sorted array of pair keys, which gives their ranks; every word then
 merges the leftmost occurrences of its lowest-ranked pair, all words at once, until no pair has
-a rank. Only distinct pre-tokens are merged, a bounded memo keeps their ids in each worker.
+a rank. A word of LONG bytes or more is merged by itself: a heap gives the lowest rank, and a round
+looks only at that rank's pairs and at those which the merges make, so a round costs what it merges. Only distinct pre-tokens are merged, a bounded memo keeps their ids in each worker.
 
 Nulls and empty texts encode to no ids; a null id keeps its row; texts are whole, whatever their
 length; repeated rows are rows of their own; other columns are not read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Entries of a worker's memo of merged pre-tokens, emptied when full; symbols merged in one flat array.
 MEMO, FLAT = 600_000, 1 << 20
-#: Texts whose new pre-tokens are merged together.
-TOGETHER = 512
+#: Texts whose new pre-tokens are merged together; bytes from which a word is merged by itself.
+TOGETHER, LONG = 512, 2048
 NO_RANK = np.int64(1 << 40)
 
 
@@ -57,15 +59,67 @@ class ByteBpe:
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
-        out: list[np.ndarray] = []
+        out: list[np.ndarray] = [self._merge_long(w) if len(w) >= LONG else np.empty(0, "<u4") for w in words]
+        short = [i for i, w in enumerate(words) if len(w) < LONG]
         begin, held = 0, 0
-        for end, w in enumerate(words, 1):
-            held += len(w)
-            if held >= FLAT or end == len(words):
-                out += self._merge(words[begin:end])
+        for end, i in enumerate(short, 1):
+            held += len(words[i])
+            if held >= FLAT or end == len(short):
+                for j, ids in zip(short[begin:end], self._merge([words[j] for j in short[begin:end]])):
+                    out[j] = ids
                 begin, held = end, 0
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, by binary search over the sorted pair keys."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], NO_RANK)
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        ids = self.first[np.frombuffer(word, np.uint8)]
+        n = len(ids)
+        # Symbols are linked, with a stop on either side; a symbol's rank is that of its pair with the next one.
+        after, before, rank = np.arange(1, n + 2), np.arange(-1, n), np.full(n + 1, NO_RANK)
+        rank[: n - 1] = self._ranks(ids[:-1], ids[1:])
+        ids = np.r_[ids, -1]
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < NO_RANK]
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            for part in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1) if len(places) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(part)
+
+        wait(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            found = waiting.pop(r)
+            at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            at = at[rank[at] == r]  # those that no merge has changed since
+            if not len(at):
+                continue
+            # Of pairs in a row ("aaa"), every second is taken, from the left.
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+            at = at[place % 2 == 0]
+            gone = after[at]
+            ids[at], rank[gone], ids[gone] = self.into[r], NO_RANK, -1
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            changed = np.unique(np.r_[at, before[at][before[at] >= 0]])
+            last = after[changed] >= n
+            rank[changed] = np.where(last, NO_RANK, self._ranks(ids[changed], ids[np.minimum(after[changed], n)]))
+            wait(changed)
+        return ids[:n][ids[:n] >= 0].astype("<u4")
+
     def _merge(self, words: list[bytes]) -> list[np.ndarray]:
         ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
         of = np.repeat(np.arange(len(words)), [len(w) for w in words])

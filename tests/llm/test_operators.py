@@ -341,6 +341,39 @@ def test_byte_bpe_equals_the_library_and_decodes(spark):
     assert bpe.encode_table(edge_docs(spark).limit(0), path).collect() == []
 
 
+def test_long_words_are_merged_in_time(spark):
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, encoder, rng = Tokenizer.from_file(path), bpe.Encoder(path), np.random.default_rng(3)
+    letters = lambda n, k=26: "".join(map(chr, 97 + rng.integers(0, k, n)))
+    words = [*(letters(n, k) for n in (2047, 2048, 5000) for k in (1, 2, 3, 26)), "ab" * 3000, "é" * 2001, letters(1 << 16), letters(1 << 20)]
+    began = time.time()
+    got = encoder.encode(words)
+    assert time.time() - began < 60
+    for w, ids in zip(words, got):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(w, add_special_tokens=False).ids
+    print("seconds:", time.time() - began)
+
+
+def test_step_groups_are_equal_over_all_tasks(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(8, "doc_id")
+    pieces = packing.pack(docs, path).toPandas()
+    sequences = pieces.groupby("sequence_id").agg(tier=("tier", "first"), tiers=("tier", "nunique"), groups=("step_group", "nunique"), group=("step_group", "first"), size=("length", "sum"))
+    assert (sequences.tiers == 1).all() and (sequences.groups == 1).all()
+    assert sequences.tier.isin(packing.TIERS).all() and (sequences["size"] <= sequences.tier).all()
+    assert (sequences.tier.eq(packing.TIERS[-1]) | (2 * sequences["size"] > sequences.tier)).all()
+    for tier, of_tier in sequences.groupby("tier"):
+        sums = of_tier.groupby("group")["size"].sum()
+        assert [*sums.index] == [*range(len(sums))]
+        assert len(sums) == max(1, round(of_tier["size"].sum() / packing.STEP_TOKENS))
+        assert sums.max() - sums.min() <= 2 * tier
+    assert len({int(i) >> packing.TASK_BITS for i in sequences.index}) == 8
+
+
 def test_words_of_any_latin_characters_equal_the_library():
     from tokenizers import Tokenizer
 
