@@ -6,14 +6,18 @@ model never sees an earlier one's answer to a row that taught it. Features are w
 words (stems with varying endings are then found in words never seen), each once for being there and
 once more for being there twice.
 
-Training uses at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of their id, and the
-``FEATURES`` features of the largest log-likelihood ratio among them; scoring reads every whole
-text. The categories besides the label are told apart by word lists, as labels carry none: a labelled
-toxic text that holds a word of the list belongs to the category.
+The categories come from the labels: low quality (where labels have that column), two kinds of toxic texts, and toxic. The
+kinds are the two sides of the direction in which the telling features of toxic texts differ most; a text's side is
+judged by the direction and the median of the other folds' toxic texts, so it isn't among those that drew the line.
+
+Training uses at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of their id, and of their features
+``FEATURES`` for toxic and ``QUALITY_FEATURES`` for low quality, the most telling ones by log-likelihood ratio, be they
+commoner or rarer in such texts; scoring reads every whole text.
 
 Nulls and empty texts have no features and get the base rate, never a rejection by themselves; labels that are null or
 whose document is missing teach nothing; with no row, or one class only, a category's probability
-is its rate in training, and without positive labels nothing is toxic. A null id keeps its row; repeated rows
+is its rate in training, and without positive labels nothing is toxic. An id with several labels has the largest, one
+with several texts teaches by the smallest of them. A null id keeps its row; repeated rows
 each get their row; other columns are not read (``reject`` keeps them).
 """
 
@@ -24,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,18 +37,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.base import cut
 
 #: Bounds of training, whatever the input.
-TRAIN_ROWS, FEATURES, FOLDS, STEPS, PENALTY = 4000, 768, 5, 120, 0.5
+TRAIN_ROWS, FEATURES, QUALITY_FEATURES, FOLDS, STEPS, PENALTY = 4000, 768, 256, 5, 240, 0.5
 #: Lengths of the starts of words; least rows that a feature is in; probability from which a text is toxic.
 STARTS, LEAST_ROWS, TOXIC_FROM = (4, 5, 6, 7), 3, 0.5
 #: Entries of a worker's memo of words without model features, emptied when full.
 MEMO = 300_000
 WORD = re.compile(r"[^\W\d_]+")
-#: Words that tell the categories of labelled toxic texts apart.
-WORD_LISTS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "jerk", "dumb"),
-    "contempt": ("worthless", "pathetic", "disgusting", "scum", "trash", "garbage", "filth", "vermin"),
-}
-CATEGORIES = (*WORD_LISTS, "toxic")
+CATEGORIES = ("low_quality", "kind_1", "kind_2", "toxic")
 
 
 def word_features(word: str) -> list[int]:
@@ -73,14 +73,14 @@ class Logistic:
         # Accelerated gradient steps; the curvature is at most |x|^2 / 4 and the penalty.
         v = np.zeros(x.shape[1] + 1)
         z, last = np.r_[self.w, self.b], np.r_[self.w, self.b]
-        u = np.ones(x.shape[1])
+        u = np.ones(x.shape[1], x.dtype)
         for _ in range(12):
             u = x.T @ (x @ u)
             u /= np.linalg.norm(u) or 1.0
         step = 1 / (0.25 * (np.linalg.norm(x @ u) ** 2 + len(y)) + PENALTY)
         for t in range(1, STEPS + 1):
-            error = self.sigmoid(x @ z[:-1] + z[-1]) - y
-            new = z - step * np.r_[x.T @ error + PENALTY * z[:-1], error.sum()]
+            error = self.sigmoid(x @ z[:-1].astype(x.dtype) + z[-1]) - y
+            new = z - step * np.r_[x.T @ error.astype(x.dtype) + PENALTY * z[:-1], error.sum()]
             z, last, v = new + (t - 1) / (t + 2) * (new - last), new, z
         self.w, self.b = last[:-1], float(last[-1])
 
@@ -106,7 +106,7 @@ class Chain:
                     held = fold == f
                     if held.any():
                         out[held] = Logistic(x[~held], y[~held]).odds(x[held]) if (~held).any() else 0.0
-                x = np.hstack([x, out[:, None] / 10])
+                x = np.hstack([x, (out[:, None] / 10).astype(x.dtype)])
 
     def tables(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weights of features (n x categories), of earlier categories, and intercepts."""
@@ -125,43 +125,76 @@ def predict(score: np.ndarray, fed: np.ndarray, intercept: np.ndarray) -> np.nda
     return Logistic.sigmoid(odds)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+def kinds(x: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """(rows x 2) which of two kinds a toxic row is of, by its side of the main direction of the other folds' toxic rows."""
+    out = np.zeros((len(x), 2))
+
+    def line(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        centred = rows - rows.mean(axis=0)
+        v = np.ones(x.shape[1]) / max(1, x.shape[1]) ** 0.5
+        for _ in range(30):
+            v = centred.T @ (centred @ v)
+            v /= np.linalg.norm(v) or 1.0
+        return v, float(np.median(rows @ v))
+
+    own = toxic > 0
+    if own.sum() < 2 * FOLDS:
+        out[own, 0] = 1.0
+        return out
+    whole, _ = line(x[own])
+    for f in range(FOLDS):
+        held = own & (fold == f)
+        if held.any() and (own & ~held).any():
+            v, median = line(x[own & ~held])
+            sign = 1.0 if v @ whole >= 0 else -1.0
+            side = sign * (x[held] @ v - median) > 0
+            out[held] = np.stack([side, ~side], axis=1)
+        else:
+            out[held, 0] = 1.0
+    return out
+
+
+def _telling(sample: DataFrame, label: str, n: int, positive: float, most: int) -> list[int]:
+    """The features of the largest log-likelihood ratio for a label; ``most`` at most come to the driver."""
+    if not 0 < positive < n or most <= 0:
+        return []
+    counted = sample.select(F.explode("features").alias("f"), F.col(label).alias("y")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("p")).where((F.col("c") >= LEAST_ROWS) & (F.col("c") < n))
+    term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
+    c, p, rate = F.col("c"), F.col("p"), positive / n
+    ratio = term(p, c * rate) + term(c - p, c * (1 - rate)) + term(positive - p, (n - c) * rate) + term((n - c) - (positive - p), (n - c) * (1 - rate))
+    return [r.f for r in counted.orderBy(ratio.desc(), "f").limit(most).select("f").collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", quality_col: str = "quality"):
     """({feature hash: row of weights}, weights of earlier categories, intercepts), from a bounded sample."""
-    lists = [F.lower(F.col("text")).rlike(r"\b(" + "|".join(words) + r")\b") for words in WORD_LISTS.values()]
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
+    low = F.when(F.col(quality_col).isNotNull(), (F.col(quality_col) <= 0).cast("double")).otherwise(F.lit(0.0)) if quality_col in labels.columns else F.lit(0.0)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), low.alias("low")).where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg((F.max("y") > 0).cast("double").alias("toxic"), F.max("low").alias("low"))
     # At most TRAIN_ROWS ids: small whatever the input. Labels without a document may take places, none is made up for.
     chosen = cut(known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    toxic = (F.col("y") > 0).cast("double")
-    labelled = rows.select("id", "text", F.array(*[F.when(x, toxic).otherwise(F.lit(0.0)) for x in lists], toxic).alias("labels"))
+    labelled = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("low").alias("low")).select("id", "text", "toxic", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
                 b = whole.slice(i, 128)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([text_features(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "labels", "features"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([text_features(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "toxic", "low", "features"])
 
     kind = labelled.schema["id"].dataType.simpleString()
-    sample = cut(labelled.mapInArrow(run, f"id {kind}, labels array<double>, features array<long>"))
-    n, positive = sample.agg(F.count(F.lit(1)), F.sum(F.element_at("labels", -1))).first()
-    positive = positive or 0.0
-    chosen_features: list[int] = []
-    if 0 < positive < n:
-        counted = sample.select(F.explode("features").alias("f"), F.element_at("labels", -1).alias("y")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("p")).where(F.col("c") >= LEAST_ROWS)
-        term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
-        c, p, rate = F.col("c"), F.col("p"), positive / n
-        ratio = term(p, c * rate) + term(c - p, c * (1 - rate)) + term(positive - p, (n - c) * rate) + term((n - c) - (positive - p), (n - c) * (1 - rate))
-        chosen_features = [r.f for r in counted.where((F.col("p") > F.col("c") * rate) & (F.col("c") < n)).orderBy(ratio.desc(), "f").limit(FEATURES).collect()]
-    place = {f: i for i, f in enumerate(chosen_features)}
-    wanted = F.array(*[F.lit(f) for f in chosen_features]) if chosen_features else F.array().cast("array<long>")
-    # Bounded: TRAIN_ROWS rows with FEATURES features at most.
-    got = sorted(sample.select("id", "labels", F.array_intersect("features", wanted).alias("features")).collect(), key=lambda r: r.id)
-    x, y = np.zeros((len(got), len(place))), np.array([r.labels for r in got]).reshape(len(got), len(CATEGORIES))
+    sample = cut(labelled.mapInArrow(run, f"id {kind}, toxic double, low double, features array<long>"))
+    n, toxic, low = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0)), F.coalesce(F.sum("low"), F.lit(0.0))).first()
+    found = _telling(sample, "toxic", n, toxic, FEATURES)
+    place = {f: i for i, f in enumerate(dict.fromkeys([*found, *_telling(sample, "low", n, low, QUALITY_FEATURES)]))}
+    wanted = F.array(*[F.lit(f) for f in place]) if place else F.array().cast("array<long>")
+    # Bounded: TRAIN_ROWS rows with FEATURES and QUALITY_FEATURES features at most.
+    got = sorted(sample.select("id", "toxic", "low", F.array_intersect("features", wanted).alias("features")).collect(), key=lambda r: r.id)
+    x, y = np.zeros((len(got), len(place)), np.float32), np.array([r.toxic for r in got])
     for i, r in enumerate(got):
         x[i, [place[f] for f in r.features]] = 1.0
     fold = np.array([xxhash.xxh3_64_intdigest(str(r.id).encode()) % FOLDS for r in got], int)
-    weights, fed, intercept = Chain(x, y, fold).tables(len(place))
+    of_kind = kinds(x[:, : len(found)], y, fold)
+    categories = np.column_stack([np.array([r.low for r in got]), of_kind, y]) if got else np.zeros((0, len(CATEGORIES)))
+    weights, fed, intercept = Chain(x, categories, fold).tables(len(place))
     return {f: weights[i] for f, i in place.items()}, fed, intercept
 
 
@@ -218,12 +251,13 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
 
     @F.pandas_udf("boolean")
-    def is_toxic(texts):
+    def is_toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, fed, intercept = model.value
-        scorer = Scorer(weights)
-        sums = np.zeros((len(texts), len(CATEGORIES)))
-        for j, t in enumerate(texts):
-            sums[j] = scorer.score(t)
-        return texts.__class__(predict(sums, fed, intercept)[:, -1].round(6) >= TOXIC_FROM)
+        scorer = Scorer(weights)  # one for a task, with its memo
+        for texts in batches:
+            sums = np.zeros((len(texts), len(CATEGORIES)))
+            for j, t in enumerate(texts):
+                sums[j] = scorer.score(t)
+            yield pd.Series(predict(sums, fed, intercept)[:, -1].round(6) >= TOXIC_FROM)
 
     return docs.where(~is_toxic(F.col(text_col)))

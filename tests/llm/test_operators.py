@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import audio, bpe, components, language_model, minhash, packing, queries, secrets, sharding, token_counts, topk, toxicity
 
@@ -133,7 +134,7 @@ def toxic_corpus(n=400):
         bad = rng.random() < 0.3
         if bad:
             for _ in range(rng.integers(2, 5)):
-                t[rng.integers(len(t))] = str(rng.choice(["idiot", "scum", f"lowei{rng.integers(99)}"])).translate(str.maketrans("0123456789", "abcdefghij"))
+                t[rng.integers(len(t))] = str(rng.choice(["grubbel", "snarv", f"lowei{rng.integers(99)}"])).translate(str.maketrans("0123456789", "abcdefghij"))
         texts.append(" ".join(t))
         toxic.append(int(bad))
     return texts, toxic
@@ -149,12 +150,56 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.reject(frame(spark, texts), labels).count() == sum(not r.toxic for r in got.values())
 
 
+def test_toxicity_equals_the_chain_by_hand(spark):
+    """Every probability from the trained tables, text by text, without the scorer's memo and arrays."""
+    texts, toxic = toxic_corpus(200)
+    texts = [t if y or i % 5 == 0 else t + " kindly" for i, (t, y) in enumerate(zip(texts, toxic))]
+    labels = spark.createDataFrame([(i, y, i % 3) for i, y in enumerate(toxic) if i < 150], "doc_id long, toxic int, quality int")
+    docs = frame(spark, texts)
+    weights, fed, intercept = toxicity.train(docs, labels)
+    assert len(weights) <= toxicity.FEATURES + toxicity.QUALITY_FEATURES and np.any(np.array([*weights.values()])[:, -1] < 0)
+    for r in toxicity.score(docs, labels).collect():
+        features, odds = set(toxicity.text_features(texts[r.doc_id])), []
+        for c in range(len(toxicity.CATEGORIES)):
+            z = intercept[c] + sum(weights[f][c] for f in sorted(features) if f in weights) + sum(odds[e] * fed[e, c] for e in range(c))
+            odds.append(min(30.0, max(-30.0, z)))
+        assert np.allclose(tuple(r)[1:5], [1 / (1 + math.exp(-z)) for z in odds], atol=2e-6)
+
+
+def test_toxicity_of_given_documents_on_held_out_labels(spark):
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    held = labels.where("doc_id % 3 = 0")
+    said = toxicity.score(docs.join(held.select("doc_id"), "doc_id", "left_semi"), labels.where("doc_id % 3 = 0").limit(0)).count()
+    scored = toxicity.score(docs, labels.where("doc_id % 3 <> 0")).select("doc_id", F.col("toxic").alias("said"), "p_kind_1", "p_kind_2", "p_low_quality")
+    rows = scored.join(held, "doc_id").collect()
+    caught = [r.said for r in rows if r.toxic]
+    assert said == len(rows) and np.mean(caught) >= 0.9 and np.mean([r.said for r in rows if not r.toxic]) <= 0.005
+    sides = [r.p_kind_1 > r.p_kind_2 for r in rows if r.toxic]
+    assert 0.15 < np.mean(sides) < 0.85
+
+
+def test_kinds_are_judged_by_other_folds():
+    rng = np.random.default_rng(4)
+    group = rng.integers(0, 2, 400)
+    x = np.column_stack([(rng.random(400) < np.where(group, 0.9, 0.1)) for _ in range(6)] + [rng.random(400) < 0.5 for _ in range(6)]).astype(float)
+    toxic = (np.arange(400) % 2).astype(float)
+    got = toxicity.kinds(x, toxic, rng.integers(0, 5, 400))
+    assert (got[toxic == 0] == 0).all() and (got[toxic == 1].sum(axis=1) == 1).all()
+    agree = np.mean(got[toxic == 1, 0] == group[toxic == 1])
+    assert max(agree, 1 - agree) > 0.9
+
+
 def test_toxicity_edge_cases(spark):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     for labels in (none, none.limit(0), spark.createDataFrame([(6, 0), (7, 0)], "doc_id long, toxic int")):
         got = toxicity.score(edge_docs(spark), labels).collect()
         assert len(got) == len(TEXTS) + 3 and not any(r.toxic for r in got)
     assert toxicity.score(edge_docs(spark).limit(0), none).collect() == []
+    twice = frame(spark, ["b bad bad", "a good"], [1, 1]).union(frame(spark, ["c other"], [2]))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    same = [sorted(map(tuple, toxicity.score(t, labels).collect())) for t in (twice, twice.orderBy("text"), twice.orderBy(F.desc("text")))]
+    assert same[0] == same[1] == same[2] and len(same[0]) == 3
 
 
 def test_chain_passes_earlier_categories_on():
