@@ -3,15 +3,16 @@
 A recording (PCM WAV bytes) is cut into overlapping frames; the power of each frame's spectrum is summed by
 pitch class. Filters compare areas of the smoothed and normalised pitch-class image, read off its integral
 image; their answers, two Gray-coded bits each, are packed into an integer for every position. Two
-recordings are aligned by the histogram of offsets of equal integers, and told alike by the share
-of bits that differ where they overlap.
+recordings are aligned by the histogram of offsets of equal integers, to which every occurrence adds, and told
+alike by the share of bits that differ where they overlap, at the offset of most votes that passes.
 
-Recordings with equal fingerprints form a class; only one of each class is searched for and in. Blocks of
-queries meet blocks of recordings once; inside a task equal integers are paired piece by piece,
-without emitting the pairs.
+Recordings with equal fingerprints form a class; only one of each class is searched for and in. Recordings lie in
+parts that aren't moved again, each block of queries is sent to every part; inside a task equal integers are paired
+piece by piece, runs of one integer as a whole, without emitting the pairs.
 
 Nulls, empty or unreadable media have no fingerprint, no class and match nothing; a recording shorter than the
-filters is padded with silence; null ids keep their row and match nothing; repeated rows each get their row;
+filters is padded with silence; null ids keep their row and match nothing; repeated rows each get their row; of an
+id with several recordings the one with the least digest is searched for and in;
 other columns are not read; an empty table gives no rows.
 """
 
@@ -26,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, written
+from gridloom.llm.base import cut, with_group, written
 
 #: Samples of a frame and between frames; frames over which filters reach; frames that are smoothed over.
 FRAME, HOP, WIDTH, SMOOTH = 256, 64, 8, 3
 #: Frequencies that count, as shares of the sample rate; what two areas' log ratio must pass for the outer codes.
 LOW, HIGH, OUTER = 1 / 40, 1 / 2.2, 0.1
-#: Votes for an offset, bits that may differ, and positions of overlap that a match needs (fewer if a recording is shorter).
-VOTES, MOST_ERRORS, OVERLAP = 3, 0.2, 8
-#: Integers of a block of recordings or queries; blocks that meet a query block in a task; pairs expanded at once.
+#: What a match needs: votes for an offset, share of bits that may differ, positions of overlap (fewer are alike by chance,
+#: so shorter recordings have a class but no matches), share of the shorter recording that has to lie in the overlap.
+VOTES, MOST_ERRORS, OVERLAP, SHARE = 2, 0.1, 8, 0.5
+#: Integers of a block of recordings or queries; most blocks of a part; votes held at once.
 BLOCK, BLOCKS_A_PART, PAIRS = 1 << 18, 8, 1 << 20
 
 
@@ -123,59 +125,93 @@ def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return hi - lo, int(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum())
 
 
-def matches(queries: list[np.ndarray], recordings: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """(query, recording, offset, overlap, differing bits) of all alike pairs, at the offset with most votes.
+class Runs:
+    """Runs of one integer in recordings, in order: integer, recording, place of the first, length."""
 
-    A vote is an integer that both hold, at its first place in each. Ties go to the smaller offset.
-    """
+    def __init__(self, prints: list[np.ndarray]):
+        self.prints, sizes = prints, np.array([*map(len, prints)], np.int64)
+        flat = np.concatenate([*prints, np.empty(0, np.uint32)]).astype(np.uint32)
+        of, place = np.repeat(np.arange(len(prints)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])][: len(flat)])
+        self.key, self.of, self.at, self.length = flat[first], of[first], place[first], np.diff(np.r_[first, len(flat)])
 
-    def firsts(prints: list[np.ndarray]):
-        keys, of, at = [], [], []
-        for i, p in enumerate(prints):
-            k, first = np.unique(p, return_index=True)
-            keys.append(k)
-            of.append(np.full(len(k), i, np.int64))
-            at.append(first.astype(np.int64))
-        keys, of, at = map(np.concatenate, (keys, of, at))
-        order = np.argsort(keys, kind="stable")
-        return keys[order], of[order], at[order]
-
-    if not queries or not recordings:
-        return []
-    qk, qo, qa = firsts(queries)
-    rk, ro, ra = firsts(recordings)
-    lo, hi = np.searchsorted(qk, rk, "left"), np.searchsorted(qk, rk, "right")
-    some = np.flatnonzero(hi > lo)
-    ro, ra, lo, n = ro[some], ra[some], lo[some], (hi - lo)[some]
-    order = np.argsort(ro, kind="stable")  # recording by recording, so that votes of a pair come together
-    ro, ra, lo, n = ro[order], ra[order], lo[order], n[order]
-    out, begin, ends = [], 0, np.flatnonzero(np.r_[ro[1:] != ro[:-1], True]) + 1
+    def by_key(self) -> tuple[np.ndarray, ...]:
+        order = np.argsort(self.key, kind="stable")
+        return self.key[order], self.of[order], self.at[order], self.length[order]
+
+
+def _pieces(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (row, x) with lo[row] <= x < hi[row], at most PAIRS at once, rows in order."""
+    n = hi - lo
     total = np.cumsum(n)
-    while begin < len(ro):
-        # Whole recordings, as many as make PAIRS pairs, one at least.
-        base = total[begin - 1] if begin else 0
-        fit = ends[(ends > begin) & (total[ends - 1] - base <= PAIRS)]
-        end = int(fit[-1]) if len(fit) else int(ends[ends > begin][0])
-        k = n[begin:end]
-        q = np.repeat(lo[begin:end] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
-        r, shift = np.repeat(ro[begin:end], k), qa[q] - np.repeat(ra[begin:end], k)
-        order = np.lexsort((shift, qo[q], r))
-        r, q, shift = r[order], qo[q][order], shift[order]
-        new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (q[1:] != q[:-1]) | (shift[1:] != shift[:-1])])
-        votes = np.diff(np.r_[new, len(r)])
-        r, q, shift = r[new], q[new], shift[new]
+    for begin in range(0, int(total[-1]) if len(total) else 0, PAIRS):
+        number = np.arange(begin, min(begin + PAIRS, int(total[-1])))
+        row = np.searchsorted(total, number, "right")
+        yield row, lo[row] + number - (total[row] - n[row])
+
+
+def _summed(code: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code, kind="stable")
+    code, votes = code[order], votes[order]
+    new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    return code[new], np.add.reduceat(votes, new) if len(new) else votes
+
+
+def histograms(queries: Runs, recordings: Runs) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(recording, query, offset, votes) of all offsets at which a recording and a query hold an equal integer.
+
+    Every occurrence votes. Two runs of one integer give a trapezoid of votes, added as a whole.
+    """
+    key, of, at, length = queries.by_key()
+    lo, hi = np.searchsorted(key, recordings.key, "left"), np.searchsorted(key, recordings.key, "right")
+    some = np.flatnonzero(hi > lo)
+    n, longest = len(queries.prints), max(map(len, recordings.prints), default=0)
+    span = longest + max(map(len, queries.prints), default=0) + 1
+    code, votes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def parts(code: np.ndarray, votes: np.ndarray):
+        pair = code // span
+        return pair // n, pair % n, code % span - longest, votes
+
+    for row, x in _pieces(lo[some], hi[some]):
+        row = some[row]
+        a, b = length[x], recordings.length[row]
+        least = at[x] - recordings.at[row] - (b - 1)
+        base = (recordings.of[row] * n + of[x]) * span + longest + least
+        for which, step in _pieces(np.zeros(len(x), np.int64), a + b - 1):
+            height = np.minimum(np.minimum(step + 1, (a + b - 1)[which] - step), np.minimum(a, b)[which])
+            code, votes = _summed(np.r_[code, base[which] + step], np.r_[votes, height])
+            done = np.searchsorted(code, int(recordings.of[row[which[-1]]]) * n * span)  # all of earlier recordings
+            if done:
+                yield parts(code[:done], votes[:done])
+                code, votes = code[done:], votes[done:]
+    if len(code):
+        yield parts(code, votes)
+
+
+def alike(a: np.ndarray, b: np.ndarray, overlap: int, errors: int) -> bool:
+    return overlap >= max(OVERLAP, SHARE * min(len(a), len(b))) and errors <= MOST_ERRORS * 32 * overlap
+
+
+def matches(queries: Runs, recordings: Runs) -> list[tuple[int, int, int, int, int]]:
+    """(query, recording, offset, overlap, differing bits) of all alike pairs.
+
+    Offsets with VOTES votes are tried, those with more first and then the smaller, and the first that passes counts.
+    """
+    out = []
+    for r, q, shift, votes in histograms(queries, recordings):
+        enough = votes >= VOTES
+        r, q, shift, votes = r[enough], q[enough], shift[enough], votes[enough]
         order = np.lexsort((shift, -votes, q, r))
-        r, q, shift, votes = r[order], q[order], shift[order], votes[order]
-        best = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (q[1:] != q[:-1])])
-        for i in best:
-            a, b = queries[q[i]], recordings[r[i]]
-            shorter = min(len(a), len(b))
-            if votes[i] < min(VOTES, shorter):
+        passed = None
+        for i, j, offset in zip(r[order].tolist(), q[order].tolist(), shift[order].tolist()):
+            if passed == (i, j):
                 continue
-            overlap, errors = aligned(a, b, int(shift[i]))
-            if overlap >= min(OVERLAP, shorter) and errors <= MOST_ERRORS * 32 * overlap:
-                out.append((int(q[i]), int(r[i]), int(shift[i]), overlap, errors))
-        begin = end
+            a, b = queries.prints[j], recordings.prints[i]
+            overlap, errors = aligned(a, b, offset)
+            if alike(a, b, overlap, errors):
+                out.append((j, i, offset, overlap, errors))
+                passed = (i, j)
     return out
 
 
@@ -210,12 +246,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by part, in each the blocks of recordings first and then those of queries."""
+    part, held = None, []
     for batch in batches:
-        for ids, prints, q_ids, q_prints in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            load = lambda x: [np.frombuffer(p, "<u4") for p in x]
-            found = [(q_ids[q], ids[r], o, n, e) for q, r, o, n, e in matches(load(q_prints), load(prints)) if q_ids[q] != ids[r]]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["query", "id", "offset", "overlap", "errors"])
+        for now, asks, ids, prints in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if now != part:
+                part, held = now, []
+            block = ids, Runs([np.frombuffer(p, "<u4") for p in prints])
+            if not asks:
+                held.append(block)
+                continue
+            q_ids, queries = block
+            for r_ids, recordings in held:
+                found = [(q_ids[q], r_ids[r], o, n, e) for q, r, o, n, e in matches(queries, recordings) if q_ids[q] != r_ids[r]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["query", "id", "offset", "overlap", "errors"])
 
 
 def fingerprint_and_align(media: DataFrame, is_query: Callable[[Column], Column], id_col: str, media_col: str) -> DataFrame:
@@ -223,20 +268,23 @@ def fingerprint_and_align(media: DataFrame, is_query: Callable[[Column], Column]
     n_matches (classes of query recordings that it is alike to, its own class left out) and, of the best of them
     (least share of differing bits, then larger overlap, then smaller id), match_id, offset, overlap, bit_errors."""
     prints = written(media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(_prints, PRINTS), "fingerprints")
-    keyed = prints.withColumn("digest", F.unhex(F.sha2("print", 256)))
-    groups = keyed.where(F.col("id").isNotNull() & F.col("print").isNotNull()).groupBy("digest").agg(F.min("id").alias("class_id"), F.max(is_query(F.col("id"))).alias("asked"))
-    one = cut(keyed.join(groups, "digest").where(F.col("id") == F.col("class_id")).select("id", "print", "n", "asked").dropDuplicates(["id"]))
+    digests = cut(prints.select("id", "n", "crc", F.unhex(F.sha2("print", 256)).alias("digest")))
+    groups = cut(digests.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("class_id"), F.max(is_query(F.col("id"))).alias("asked"), F.count(F.lit(1)).alias("rows")))
+    own = groups.groupBy(F.col("class_id").alias("id")).agg(F.min_by(F.struct("digest", "asked"), "digest").alias("own")).select("id", "own.*")
+    one = cut(prints.withColumn("digest", F.unhex(F.sha2("print", 256))).join(own, ["id", "digest"]).select("id", "print", "n", "asked").dropDuplicates(["id"]))
     total, asked_total = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asked"), F.col("n"))), F.lit(0))).first()
     shaped = lambda rows, n: rows.select("id", "print").repartition(max(1, -(-n // BLOCK))).mapInArrow(_blocks, "ids array<long>, prints array<binary>")
-    parts = max(1, -(-total // (BLOCK * BLOCKS_A_PART)))
-    data = shaped(one, total).withColumn("part", (F.monotonically_increasing_id() % parts).cast("int"))
-    asked = shaped(one.where("asked"), asked_total).select(F.col("ids").alias("q_ids"), F.col("prints").alias("q_prints"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pairs = data.join(asked, "part").select("ids", "prints", "q_ids", "q_prints").repartition(max(1, min(200, parts * BLOCKS_A_PART)))
+    blocks = -(-total // BLOCK)
+    parts = max(1, -(-blocks // BLOCKS_A_PART), min(blocks, 2 * media.sparkSession.sparkContext.defaultParallelism))
+    data = shaped(one, total).select((F.monotonically_increasing_id() % parts).cast("int").alias("part"), F.lit(False).alias("asks"), "ids", "prints")
+    asked = shaped(one.where("asked"), asked_total).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "ids", "prints")
+    pairs = data.unionByName(asked).repartitionById(parts, "part").sortWithinPartitions("part", "asks")
     found = pairs.mapInArrow(_search, "query long, id long, offset long, overlap long, errors long")
     best = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct((F.col("errors") / (32 * F.col("overlap"))).alias("share"), -F.col("overlap"), "query", "offset", "overlap", "errors")).alias("best"))
-    rows = prints.select("id", "n", "crc", F.unhex(F.sha2("print", 256)).alias("digest")).join(groups.select("digest", "class_id"), "digest", "left")
+    rows = with_group(digests, groups, "digest", "class_id", F.xxhash64("id", "n", "crc"))
     rows = rows.withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
-    joined = rows.join(best.withColumnRenamed("id", "class_id"), "class_id", "left")
+    matched = groups.join(best.withColumnRenamed("id", "class_id"), "class_id").select("class_id", "n_matches", "best", "rows").groupBy("class_id").agg(F.first("n_matches").alias("n_matches"), F.first("best").alias("best"), F.sum("rows").alias("rows"))
+    joined = with_group(rows, matched, "class_id", ("n_matches", "best"), F.xxhash64("id", "n", "crc"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_positions"), F.col("crc").alias("print_crc32"), "class_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.col("best.query").alias("match_id"), F.col("best.offset").alias("offset"), F.col("best.overlap").alias("overlap"), F.col("best.errors").alias("bit_errors"))
 
 

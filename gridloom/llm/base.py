@@ -9,13 +9,16 @@ import gc
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder and runs on a single machine.
 OWN_FOLDER = "/tmp/checkpoints/gridloom"
 #: What ``clean`` removes: paths below the shared folder, and tables of the catalog, of this process.
 _paths: list[str] = []
 _names: list[str] = []
+#: A group is hot, see ``with_group``, from this share of all rows on.
+HOT_GROUPS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, values: str | tuple[str, ...], spread: Column) -> DataFrame:
+    """``rows`` with the ``values`` of their group by ``key``, null where it has none; ``groups`` is a table (read twice).
+
+    Groups have their number of rows in ``rows``. Those of more than one in HOT_GROUPS of all rows, which are fewer than
+    HOT_GROUPS, are broadcast; their rows, and those without key, are spread by ``spread`` and meet nothing in the shuffle.
+    """
+    values = (values,) if isinstance(values, str) else values
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    hot = groups.where(F.col("rows") * HOT_GROUPS > total).select(F.col(key).alias("_hot"), F.struct(*values).alias("_of_hot"))
+    cold = groups.where(F.col("rows") * HOT_GROUPS <= total).select(F.col(key).alias("_cold"), F.struct(*values).alias("_of_cold"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    alone = F.when(F.col("_hot").isNull(), F.col(key))
+    met = met.withColumns({"_alone": alone, "_spread": F.when(alone.isNull(), spread)})
+    met = met.join(cold.withColumn("_none", F.lit(None).cast("long")), F.col("_alone").eqNullSafe(F.col("_cold")) & F.col("_spread").eqNullSafe(F.col("_none")), "left")
+    found = [F.coalesce(F.col(f"_of_hot.{v}"), F.col(f"_of_cold.{v}")).alias(v) for v in values]
+    return met.select(*rows.columns, *found)
+
+
 class Memo:
     """A bounded memo of two generations: when the young one is full it becomes the old one, and what is asked for
     again moves back. So frequent keys stay, and at most twice ``size`` entries are held."""
