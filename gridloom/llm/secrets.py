@@ -3,7 +3,8 @@
 Every version of every path is content-addressed by the SHA-256 of its text. The ledger holds a row for
 each blob and rule version ever scanned, findings or none; only pairs it lacks are scanned, each blob
 once however many paths hold it, and the findings are joined back to all paths. The ledger is a
-Parquet table in a shared folder and only grows by appending.
+Parquet table in a shared folder and only grows by appending. Two writers at once may both append a blob; a
+blob's rows of one rule version are alike, and one of them is read.
 
 Nulls count as empty texts (a blob like any other, without findings); a null id is a path like any other;
 texts are whole, whatever their length; repeated rows each get their row; other columns are
@@ -20,10 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import new_table
+from gridloom.llm.base import cut, new_table, with_group, written
 
-#: Changes whenever a rule below changes, so that every blob is scanned again.
-RULE_VERSION = "base-1"
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -32,6 +31,8 @@ ASSIGN = re.compile(rf"""({_either_case})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are greedy, so a run of 24 or more is the same match as one of any length
 LEAST_VALUE, LEAST_ACCESS = 6, 20
+#: Derived from the rules, so that every blob is scanned again when one of them changes.
+RULE_VERSION = "base-" + hashlib.sha256(repr((KINDS, ASSIGN.pattern, ACCESS.pattern, HEX.pattern, LEAST_VALUE, LEAST_ACCESS)).encode()).hexdigest()[:12]
 #: Up to so many blobs with findings, they are broadcast to be redacted; beyond, texts are shuffled to them.
 BROADCAST_BLOBS = 100_000
 
@@ -48,6 +49,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+FINDINGS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 LEDGER = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -70,20 +72,30 @@ class BlobLedger:
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path) if self.exists else self.spark.createDataFrame([], LEDGER)
 
-    def scan(self, versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """Scan what the ledger lacks, append it, and return id, blob and findings of every row of ``versions``."""
+    def known(self) -> DataFrame:
+        """What the ledger has of the rules as they are, a row for each blob."""
+        return self.rows().where(F.col("rule_version") == RULE_VERSION).drop("rule_version").dropDuplicates(["blob"])
+
+    def add(self, versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Scan what the ledger lacks and append it; returns path, blob and place of every row of ``versions``."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         blobs = versions.select(F.col(id_col).alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), F.xxhash64(F.col(id_col)).alias("place"), text.alias("content"))
+        paths = written(blobs.drop("content"), "paths")
         # The place of a blob that is read for it: only digests are shuffled to find it.
-        unseen = blobs.groupBy("blob").agg(F.min("place").alias("place"))
+        unseen = paths.groupBy("blob").agg(F.min("place").alias("place"))
         if self.exists:
             unseen = unseen.join(self.rows().where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
         fresh = blobs.select("blob", "place", "content").join(unseen.hint("shuffle_hash"), ["blob", "place"], "left_semi")
         # Repeated rows of one path share blob and place.
         fresh.select("blob", "content").mapInArrow(_scan, LEDGER).dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
         self.exists = True
-        known = self.rows().where(F.col("rule_version") == RULE_VERSION).drop("rule_version")
-        return blobs.select("path", "blob").join(known, "blob").withColumnRenamed("path", id_col)
+        return paths
+
+    def scan(self, versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Add ``versions`` and return id, blob and findings of every row of them."""
+        paths = self.add(versions, id_col, text_col).drop("place")
+        known = self.known().join(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("rows")), "blob")
+        return with_group(paths, cut(known), "blob", FINDINGS, F.xxhash64("path")).withColumnRenamed("path", id_col)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None) -> DataFrame:
@@ -97,25 +109,24 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
 
     Rows without findings are as they were; no row is dropped.
     """
-    columns = docs.columns
     ledger = BlobLedger(docs.sparkSession, ledger_path or new_table(docs.sparkSession, "ledger"))
-    ledger.scan(docs, id_col, text_col)
-    found = ledger.rows().where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    ledger.add(docs, id_col, text_col)
+    found = ledger.known().where(F.col("spans") != "").select("blob", "spans")
 
     @F.pandas_udf("string")
     def without(texts, spans):
         return texts.combine(spans, lambda t, s: t if not s else _cut(t, s))
 
-    keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    # The row is kept as one column, so that no name of its own can clash.
+    keyed = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
     if found.count() <= BROADCAST_BLOBS:
         found = F.broadcast(found)
-    joined = keyed.join(found, "_blob", "left")
-    changed = F.col("_spans").isNotNull()
-    new = F.when(changed, without(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    joined = joined.withColumn(text_col, new)
-    if count_col in columns:
-        joined = joined.withColumn(count_col, F.when(changed, F.length(text_col).cast("long")).otherwise(F.col(count_col)))
-    return joined.select(columns)
+    joined = keyed.join(found, "blob", "left")
+    changed, old = F.col("spans").isNotNull(), F.col("row").getField(text_col)
+    new = F.when(changed, without(old, F.col("spans"))).otherwise(old)
+    joined = joined.select("row", changed.alias("changed"), new.alias("text"))
+    values = {text_col: F.col("text"), count_col: F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("row").getField(count_col))}
+    return joined.select([(values[c] if c in values else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _cut(text: str, spans: str) -> str:
