@@ -13,7 +13,8 @@ the components are those of all linked candidates, without all pairs of a group
 Number and length of bands follow from the threshold, so that a pair at the threshold shares no band
 with a probability below ``MISS``. Nulls, empty texts and texts without words have no set and no links;
 a null id keeps its row, has a null component and is linked with nothing; texts are whole; repeated rows
-each get their row; other columns are not read (``keep_one`` keeps them); an empty table gives no rows.
+each get their row; an id with several texts stands for all of them, and is compared by the set with the least digest among those
+of which it is the smallest id; other columns are not read (``keep_one`` keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, drop_table, new_table, release, trim, written
+from gridloom.llm.base import cut, drop_table, new_table, release, trim, with_group, written
 from gridloom.llm.components import joined
 
 #: Chance that a pair at the threshold shares no band; most coordinates; bits of the sketch; standard deviations it may be off.
@@ -166,7 +167,8 @@ def _sets(k: int):
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.set_of(t).tobytes() for t in batch.column(1).to_pylist()])], ["id", "members"])
+                sets = [shingler.set_of(t).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets]), pa.array(sets)], ["id", "digest", "members"])
 
     return run
 
@@ -267,18 +269,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(k, bands, rows), SIGNED), "minhash")
     ids = signed.select("id", "n_shingles", "digest")
-    reps = ids.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("digest").agg(F.min("id").alias("id"))
-    classes = signed.join(reps.hint("shuffle_hash"), ["digest", "id"], "left_semi")
+    reps = cut(ids.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")))
+    own = reps.groupBy("id").agg(F.min("digest").alias("digest"))
+    classes = signed.join(own.hint("shuffle_hash"), ["digest", "id"], "left_semi")
     keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     members = cut(keyed.join(shared, "key").distinct())
-    needed = cut(members.select("id").distinct())
+    needed = cut(members.select("id").distinct().join(own, "id"))
     few = needed.count() <= BROADCAST_IDS
     pick = F.broadcast(needed) if few else needed.hint("shuffle_hash")
     sets_path = new_table(docs.sparkSession, "shingle-sets")
-    texts.join(pick, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, members binary").write.parquet(sets_path)
+    found = texts.join(pick, "id", "left_semi").mapInArrow(_sets(k), "id long, digest binary, members binary")
+    found.join(pick, ["id", "digest"], "left_semi").drop("digest").dropDuplicates(["id"]).write.parquet(sets_path)
     sets = docs.sparkSession.read.schema("id long, members binary").parquet(sets_path)
-    traits = cut(signed.select("id", F.col("n_shingles").alias("n"), "bands", *SKETCH).join(pick, "id", "left_semi").dropDuplicates(["id"]))
+    traits = cut(signed.select("id", F.col("n_shingles").alias("n"), "bands", "digest", *SKETCH).join(pick, ["id", "digest"], "left_semi").drop("digest").dropDuplicates(["id"]))
     release(docs.sparkSession)
 
     links, open_members = None, members.withColumn("comp", F.col("id"))
@@ -305,8 +309,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
         open_members = open_members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("now", "id")).drop("now")
         release(docs.sparkSession)
     drop_table(docs.sparkSession, sets_path)
-    rows_ = ids.join(reps.withColumnRenamed("id", "rep"), "digest", "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id"))))
-    rows_ = rows_.join(links.select(F.col("u").alias("class_id"), F.col("v").alias("top")), "class_id", "left").withColumn("component_id", F.coalesce("top", "class_id"))
+    groups = reps.withColumnRenamed("id", "rep").join(links.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left")
+    # A row without set has no class to be joined with; where all such rows lay together, there would be a hot key.
+    keyed_rows = ids.withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
+    rows_ = with_group(keyed_rows, cut(groups), "digest", ("rep", "top"), F.xxhash64("id"))
+    rows_ = rows_.withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("top", "rep", "id")))
     return rows_.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "class_id")
 
 

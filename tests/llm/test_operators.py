@@ -269,6 +269,40 @@ def test_secret_scan_equals_brute_force_and_scans_blobs_once(spark, tmp_path):
     assert secrets.scan_secrets(docs.limit(0)).collect() == []
 
 
+def test_ledger_rows_that_two_writers_appended_count_once(spark, tmp_path):
+    path, docs = str(tmp_path / "ledger"), frame(spark, TEXTS)
+    first = sorted(map(str, secrets.scan_secrets(docs, ledger_path=path).collect()))
+    spark.read.parquet(path).coalesce(1).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(path)
+    assert sorted(map(str, secrets.scan_secrets(docs, ledger_path=path).collect())) == first
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(i, t, "mine", i, "s", True) for i, t in enumerate(['password = "hunter22"', "nothing", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _blob string, blob int, spans string, changed boolean")
+    got = sorted(map(tuple, secrets.redact(docs).collect()))
+    assert got == [(0, "[SECRET]\"", "mine", 0, "s", True), (1, "nothing", "mine", 1, "s", True), (2, None, "mine", 2, "s", True)]
+
+
+def test_groups_are_joined_whether_hot_or_not(spark, monkeypatch):
+    from gridloom.llm import base
+
+    keys = ["hot"] * 600 + [f"k{i}" for i in range(300)] + [None] * 100
+    rows = spark.createDataFrame([*enumerate(keys)], "id long, key string")
+    groups = rows.where("key is not null and key <> 'k7'").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    want = {(i, k, None if k in (None, "k7") else keys.index(k)) for i, k in enumerate(keys)}
+    for share in (10, 10_000):
+        monkeypatch.setattr(base, "HOT_GROUPS", share)
+        assert {tuple(r) for r in base.with_group(rows, groups, "key", "least", F.xxhash64("id")).collect()} == want
+
+
+def test_an_id_with_several_texts_has_one_answer(spark):
+    texts = varied(11, 3, 4)
+    docs = frame(spark, texts + ["quite another text of seven words here", texts[0]], [*range(len(texts)), 0, 500])
+    answers = [sorted(map(str, minhash.near_duplicates(d, 3, Fraction(85, 100)).collect())) for d in (docs, docs.orderBy("text"), docs.repartition(7, "text"))]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == len(texts) + 2
+
+
 def test_redaction_leaves_no_secret_and_nothing_else(spark):
     docs = edge_docs(spark)
     got = secrets.redact(docs)
