@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.base import catalogued, new_table, release
 
 #: Tokens of a chunk; tokens of a bucket on average; counts that are discounted.
-CHUNK, BUCKET, CUTOFF = 1_000_000, 2_000_000, 5
+CHUNK, BUCKET, CUTOFF = 1_000_000, 1_500_000, 5
 #: Tokens of a history for each bucket that it is spread over.
-HOT_TOKENS = 500_000
+HOT_TOKENS = 100_000
 #: Counts of counts are kept one by one up to CUTOFF + 1, and by powers of two for the line that smooths them.
 POWERS, STEEPNESS, LEAST_DISCOUNT = 48, -2.0, 0.05
 #: Not words, as words hold no space; the number of the start mark as a history.
@@ -261,9 +261,9 @@ class Chunk:
 
 
     def by_bucket(self, n: int) -> list[np.ndarray]:
-        """Pairs of each of n buckets, by history and word. A spread history has as many buckets as it is spread over."""
+        """Pairs of each of n buckets, by history and word. A spread history has as many buckets in a row as it is spread over."""
         part = (_mixed(self.word) >> np.uint64(8)) % self.spread.astype(np.uint64)
-        bucket = ((_mixed(self.history.astype(np.uint64) + (part << np.uint64(40))) >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
+        bucket = (((_mixed(self.history) >> np.uint64(8)) % np.uint64(n) + part) % np.uint64(n)).astype(np.int64)
         return [p[np.lexsort((self.word[p], self.history[p]))] for p in _by_bucket(bucket, n)]
 
 
