@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, with_group, written
+from gridloom.llm.base import cut, trim, with_group, written
 
 #: Samples of a frame and between frames; frames over which filters reach; frames that are smoothed over.
 FRAME, HOP, WIDTH, SMOOTH = 256, 64, 8, 3
@@ -220,11 +220,12 @@ PRINTS = "id long, n long, crc long, print binary"
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for i in range(0, whole.num_rows, 256):
-            batch = whole.slice(i, 256)
+        for i in range(0, whole.num_rows, 64):
+            batch = whole.slice(i, 64)
             samples = [read_wav(x) for x in batch.column(1).to_pylist()]
             prints = [None if s is None else fingerprint(s).astype("<u4").tobytes() for s in samples]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p or b"") // 4 for p in prints], pa.int64()), pa.array([None if p is None else zlib.crc32(p) for p in prints], pa.int64()), pa.array(prints, pa.binary())], ["id", "n", "crc", "print"])
+    trim()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +285,7 @@ def fingerprint_and_align(media: DataFrame, is_query: Callable[[Column], Column]
     rows = with_group(digests, groups, "digest", "class_id", F.xxhash64("id", "n", "crc"))
     rows = rows.withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
     matched = groups.join(best.withColumnRenamed("id", "class_id"), "class_id").select("class_id", "n_matches", "best", "rows").groupBy("class_id").agg(F.first("n_matches").alias("n_matches"), F.first("best").alias("best"), F.sum("rows").alias("rows"))
-    joined = with_group(rows, matched, "class_id", ("n_matches", "best"), F.xxhash64("id", "n", "crc"))
+    joined = with_group(rows, cut(matched), "class_id", ("n_matches", "best"), F.xxhash64("id", "n", "crc"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_positions"), F.col("crc").alias("print_crc32"), "class_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.col("best.query").alias("match_id"), F.col("best.offset").alias("offset"), F.col("best.overlap").alias("overlap"), F.col("best.errors").alias("bit_errors"))
 
 
