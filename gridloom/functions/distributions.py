@@ -29,7 +29,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + top / np.where(np.abs(c) < tiny, tiny, c)
             step = c * d
             h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        if np.all((np.abs(step - 1) < 1e-14) | np.isnan(step)):
             break
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p

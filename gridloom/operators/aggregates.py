@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,20 +109,31 @@ def moments(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def normality_k2(n: int, skew: float, kurt: float) -> tuple[float, float]:
-    """D'Agostino's K2 and its p from population skewness and excess kurtosis (Anscombe-Glynn and D'Agostino transforms)."""
-    y = skew * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    b2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
-    w2 = math.sqrt(2 * (b2 - 1)) - 1
-    zs = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
-    mean, var = -6.0 / (n + 1), 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3.0) * (n + 5))
-    x = (kurt - mean) / math.sqrt(var)
-    b1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
-    a = 6 + 8 / b1 * (2 / b1 + math.sqrt(1 + 4 / b1**2))
-    d = 1 + x * math.sqrt(2 / (a - 4))
-    zk = (1 - 2 / (9 * a) - math.copysign(abs((1 - 2 / a) / d) ** (1 / 3), d)) / math.sqrt(2 / (9 * a))
-    k2 = zs * zs + zk * zk
-    return k2, math.exp(-k2 / 2)
+def normality(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, k2, p: D'Agostino's K2 of a column and its p, by the transforms of D'Agostino (skewness) and Anscombe and Glynn (kurtosis).
+
+    NULL for fewer than eight values, for which the transforms aren't made, and without variance.
+    """
+    spread = F.stddev_pop(c) > 0
+    sums = df.groupBy(*by).agg(F.count(c).cast("double").alias("n"), F.when(spread, F.skewness(c)).alias("skew"), F.when(spread, F.kurtosis(c)).alias("kurt")).withColumns({"skew": F.when(F.col("n") >= 8, F.col("skew")), "kurt": F.when(F.col("n") >= 8, F.col("kurt"))})
+    n = F.col("n")
+    steps = [
+        ("y", F.col("skew") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))),
+        ("b2", 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))),
+        ("w2", F.sqrt(2 * (F.col("b2") - 1)) - 1),
+        ("zs", F.asinh(F.col("y") / F.sqrt(2 / (F.col("w2") - 1))) / F.sqrt(F.log("w2") / 2)),
+        ("x", (F.col("kurt") + 6 / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))),
+        ("b1", 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))),
+        ("a", 6 + 8 / F.col("b1") * (2 / F.col("b1") + F.sqrt(1 + 4 / (F.col("b1") * F.col("b1"))))),
+        ("d", 1 + F.col("x") * F.sqrt(2 / (F.col("a") - 4))),
+        ("zk", (1 - 2 / (9 * F.col("a")) - F.signum("d") * F.cbrt(F.abs((1 - 2 / F.col("a")) / F.col("d")))) / F.sqrt(2 / (9 * F.col("a")))),
+        ("k2", F.col("zs") * F.col("zs") + F.col("zk") * F.col("zk")),
+        ("p", F.exp(-F.col("k2") / 2)),
+    ]
+    out = sums.withColumns({"n": F.when(n >= 8, n)})
+    for name, value in steps:
+        out = out.withColumn(name, value)
+    return out.select(*by, "k2", "p")
 
 
 def exceedance(df: DataFrame, c: str, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

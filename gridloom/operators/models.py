@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from gridloom import config as C
 from gridloom.functions import scalars as S
-from gridloom.functions.distributions import p_of_t
+from gridloom.functions.distributions import t_two_sided
 from gridloom.operators import windows as W
 
 
@@ -56,30 +57,41 @@ def harmonic_fit(observed: DataFrame, y: str, by: Sequence[str], trend: bool = T
     return parameters, dense.withColumn("std_residual", S.standardised(F.col("residual"), F.col("sigma"))).drop("sigma")
 
 
+def _merged(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, products about the means) of two sets of rows together."""
+    n, off = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + off * (b[0] / n), a[2] + b[2] + np.outer(off, off) * (a[0] * b[0] / n)
+
+
 def grid_search(df: DataFrame, y: str, families: dict[str, dict[int, str]], by: Sequence[str], n_eff: DataFrame) -> DataFrame:
     """Every regression y ~ a_w1 + b_w2 + c_w3 + 1 with one window from each of three families, per group.
 
-    The data are read once: partitions sum the cross products of all columns, centred on group means, and each model
-    is a 3 x 3 part of the group's matrix. Rows with a missing value in any column don't count; near-singular models
+    The data are read once: partitions sum the cross products of all columns about their own means, the sums are merged
+    about the group's, and each model is a 3 x 3 part of the group's matrix. Rows with a missing value in any column don't count; near-singular models
     are left out. t uses n - 4 degrees of freedom, p uses max(1, n_eff - 4), n_eff from the table given.
     """
     columns = [y, *(c for f in families.values() for c in f.values())]
-    finite = df.select(*by, *[S.null_if_nan(F.col(c).cast("double")).alias(c) for c in columns]).dropna()
-    means = finite.groupBy(*by).agg(F.array(*[F.avg(c) for c in columns]).alias("_m"))
-    # One row for each group of the analysis: targets, scenarios and bins, some dozens.
-    centred = finite.join(F.broadcast(means), [*by]).select(*by, F.array(*columns).alias("_x"), "_m")
+    held = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, list] = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(list(by), sort=False):
-                x = np.stack(part["_x"].to_numpy()) - np.stack(part["_m"].to_numpy())
-                held = sums.setdefault(key, [np.zeros((len(columns), len(columns))), 0])
-                held[0] += x.T @ x
-                held[1] += len(x)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, tuple] = {}
+        kinds = None
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[:-1]]
+            x = batch.column(len(by)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(columns))
+            finite = ~np.isnan(x).any(axis=1)
+            group: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:-1]))):
+                if finite[i]:
+                    group.setdefault(key, []).append(i)
+            for key, at in group.items():
+                mean = x[at].mean(axis=0)
+                centred = x[at] - mean
+                part = len(at), mean, centred.T @ centred
+                sums[key] = _merged(sums[key], part) if key in sums else part
         if sums:
-            yield pd.DataFrame([(*k, g.ravel(), n) for k, (g, n) in sums.items()], columns=[*by, "gram", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(zip(*sums), kinds)), pa.array([n for n, _, _ in sums.values()], pa.int64()), pa.array([m for _, m, _ in sums.values()], pa.list_(pa.float64())), pa.array([g.ravel() for _, _, g in sums.values()], pa.list_(pa.float64()))], [*by, "n", "mean", "gram"])
 
     names = [*families]
     windows = [*itertools.product(*(f for f in families.values()))]
@@ -87,7 +99,7 @@ def grid_search(df: DataFrame, y: str, families: dict[str, dict[int, str]], by:
     models = np.array([[place[families[f][w]] for f, w in zip(names, ws)] for ws in windows])
 
     def solve(key: tuple, parts: pa.Table) -> pa.Table:
-        gram, n = np.sum([x.values.to_numpy() for x in parts["gram"]], axis=0).reshape(len(columns), -1), sum(parts["n"].to_pylist())
+        n, _, gram = functools.reduce(_merged, [(n, m.values.to_numpy(), g.values.to_numpy().reshape(len(columns), -1)) for n, m, g in zip(parts["n"].to_pylist(), parts["mean"], parts["gram"])])
         a, b = gram[models[:, :, None], models[:, None, :]], gram[models, 0]
         scale = np.sqrt(np.maximum(np.einsum("nii->ni", a), 1e-300))
         corr = a / scale[:, :, None] / scale[:, None, :]
@@ -99,16 +111,17 @@ def grid_search(df: DataFrame, y: str, families: dict[str, dict[int, str]], by:
         with np.errstate(divide="ignore", invalid="ignore"):
             t = beta / np.sqrt(np.einsum("nii->ni", inverse) * (rss / max(1, n - 4))[:, None])
         out = {k: pa.array([v.as_py()] * len(beta), v.type) for k, v in zip(by, key)} | {f"{f}_window": pa.array(chosen[:, i], pa.int32()) for i, f in enumerate(names)}
-        out |= {"n": pa.array([n] * len(beta), pa.int64()), "rss": pa.array(rss)}
+        n_eff = parts["n_eff"][0].as_py()
+        out |= {"n": pa.array([n] * len(beta), pa.int64()), "n_eff": pa.array([n_eff] * len(beta), pa.float64()), "rss": pa.array(rss)}
         for i, f in enumerate(names):
-            out |= {f"beta_{f}": pa.array(beta[:, i]), f"t_{f}": pa.array(t[:, i])}
+            p = t_two_sided(np.abs(t[:, i]), max(1.0, n_eff - 4)) if n_eff is not None else np.full(len(t), np.nan)
+            out |= {f"beta_{f}": pa.array(beta[:, i]), f"t_{f}": pa.array(t[:, i]), f"p_{f}": pa.array(p, from_pandas=True)}
         return pa.table(out)
 
-    grams = centred.mapInPandas(partial, f"{keys}, gram array<double>, n long")
-    schema = f"{keys}, " + ", ".join(f"{f}_window int" for f in names) + ", n long, rss double, " + ", ".join(f"beta_{f} double, t_{f} double" for f in names)
-    solved = grams.groupBy(*by).applyInArrow(solve, schema).join(F.broadcast(n_eff.select(*by, "n_eff")), [*by], "left")
-    dof = F.greatest(F.lit(1.0), F.col("n_eff") - 4)
-    return solved.withColumns({f"p_{f}": p_of_t(F.abs(f"t_{f}"), dof) for f in names})
+    grams = held.mapInArrow(partial, f"{keys}, n long, mean array<double>, gram array<double>")
+    schema = f"{keys}, " + ", ".join(f"{f}_window int" for f in names) + ", n long, n_eff double, rss double, " + ", ".join(f"beta_{f} double, t_{f} double, p_{f} double" for f in names)
+    sized = grams.join(n_eff.select(*by, "n_eff"), [*by], "left")
+    return sized.groupBy(*by).applyInArrow(solve, schema)
 
 
 def year_orders(years: Sequence[int], draws: int, seed: int = C.SURROGATE_SEED) -> list[list[int]]:
@@ -147,8 +160,10 @@ def surrogate_spectra(spark: SparkSession, residuals: DataFrame, daily: DataFram
     # One row a day of the series, some thousands: the only table that the driver holds.
     days = series.select("date", F.year("date").alias("year"), F.col(base).cast("double").alias("x")).orderBy("date").toPandas()
     used = spark.createDataFrame([(d,) for d in days["date"].iloc[skipped:]], "date date")
-    ranked = own.join(F.broadcast(used), "date").withColumn("r", W.average_rank("residual", []))
-    sums = ranked.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q")).orderBy("date").toPandas()
+    cells = own.join(F.broadcast(used), "date").groupBy(F.lit(0).alias("_key"), "date", F.col("residual").alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = W.ranked_values(cells.groupBy("_key", "_y").agg(F.sum("_c").alias("_c")), ["_key"], ["_key"])
+    r, times = F.col("_r"), F.col("_c")
+    sums = cells.join(ranks, ["_key", "_y"]).groupBy("date").agg(F.sum("_c").alias("n"), F.sum(r * times).alias("s"), F.sum(r * r * times).alias("q")).orderBy("date").toPandas()
     n, s, q = (sums[c].to_numpy(float) for c in "nsq")
     total = n.sum()
     y_ss = q.sum() - s.sum() ** 2 / total if total else 0.0

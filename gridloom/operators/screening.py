@@ -11,6 +11,7 @@ from gridloom.functions import distributions as D
 from gridloom.functions import scalars as S
 from gridloom.operators import aggregates as A
 from gridloom.operators import correlation as K
+from gridloom.operators import daily_screening as DS
 from gridloom.operators import joins as J
 
 ORDER = ("date", "lat_id", "lon_id")
@@ -36,6 +37,19 @@ def profiles(panel: DataFrame, families: dict[str, Sequence[str]], y: str, by: S
     return K.screening(named, "x", y, [*by, "family", "feature", "mode", "window_value"], ORDER).where(F.col("n") >= least)
 
 
+def daily_profiles(panel: DataFrame, daily: DataFrame, families: dict[str, Sequence[str]], y: str, by: Sequence[str], least: int = 50) -> DataFrame:
+    """``profiles`` of features that have one value a day: ``panel`` is not multiplied by them."""
+    family = {f: name for name, fs in families.items() for f in fs}
+    got = DS.screening(panel, y, by, ORDER, daily, [*family], least)
+    named = F.element_at(F.create_map(*[F.lit(v) for kv in family.items() for v in kv]), F.col("feature"))
+    return got.withColumns({"family": named, "mode": S.feature_mode(F.col("feature")), "window_value": S.feature_window(F.col("feature"))})
+
+
+def daily_pairs(panel: DataFrame, daily: DataFrame, twins: dict[tuple[str, int], tuple[str, str]], y: str, by: Sequence[str], least: int = 50) -> DataFrame:
+    """``pairs`` of features that have one value a day."""
+    return K.pair_solution(DS.pairs(panel, y, by, ORDER, daily, twins, least))
+
+
 def pairs(panel: DataFrame, twins: dict[tuple[str, int], tuple[str, str]], y: str, by: Sequence[str], least: int = 50) -> DataFrame:
     """by, mode, window_value, n, n_eff_used, betas, t and winner of the two families' features of equal mode and window.
 

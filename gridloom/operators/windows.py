@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets of a group's values that are ranked apart.
+BUCKETS = 32
+
+
 def _over(by: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*by).orderBy(*order)
 
@@ -61,6 +65,22 @@ def average_rank(c: str, by: Sequence[str]) -> Column:
     return F.rank().over(_over(by, [c])) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
 
 
+def ranked_values(values: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``values`` (keys, _y, _c: distinct values with counts) with _r, the average rank, and _n, the group's count.
+
+    Values are dealt into buckets by quantiles of their group by ``by`` (some of ``keys``) and ranked there, so that no task
+    has to sort a whole group; what lies in the buckets before is added.
+    """
+    cuts = values.groupBy(*by).agg(F.percentile_approx("_y", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("_cuts"))
+    bucketed = values.join(cuts, [*by]).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_y")))).drop("_cuts")
+    sums = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_all"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_all").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "_b", before.alias("_base"), F.sum("_all").over(group).alias("_n"))
+    inner = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return bucketed.withColumn("_i", inner).join(sums, [*keys, "_b"]).withColumn("_r", F.col("_base") + F.col("_i") + (F.col("_c") + 1) / 2).select(*keys, "_y", "_r", "_n")
+
+
 def bh_fdr(df: DataFrame, p: str, by: Sequence[str], out: str = "p_fdr") -> DataFrame:
     """``df`` with Benjamini-Hochberg q-values within ``by``; a NULL p has a NULL q and doesn't count."""
     known = F.col(p).isNotNull()

@@ -21,10 +21,11 @@ def r6(x):
     return F.round(x, 6)
 
 
-WINDOWS = (1, 7, 28)
+#: Windows of the grid search, of every family.
+WINDOWS = (*range(1, 29),)
 
 
-def features(spark, d, windows=WINDOWS, lags=(1, 3)):
+def features(spark, d, windows=C.MA_WINDOWS, lags=C.LAGS):
     """The daily series with trailing means and lags of both drivers."""
     out = daily(spark, d).select("date", "sii_mean", "f10_7_mean")
     for base in ("sii_mean", "f10_7_mean"):
@@ -35,9 +36,9 @@ def features(spark, d, windows=WINDOWS, lags=(1, 3)):
 
 
 _features = f"{DAILY}, sm AS (SELECT *, " + ", ".join(f"avg({b}) OVER (ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS {b}_m" for b in ("sii_mean", "f10_7_mean")) + " FROM daily), feat AS (SELECT date, round(sii_mean, 9) AS sii_mean, round(f10_7_mean, 9) AS f10_7_mean, " + ", ".join(
-    [f"round(lag({b}_m, {k}) OVER (ORDER BY date), 9) AS {b}_lag{k}" for b in ("sii_mean", "f10_7_mean") for k in (1, 3)] + [f"round(avg({b}) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 9) AS {b}_ma{w}" for b in ("sii_mean", "f10_7_mean") for w in WINDOWS]
+    [f"round(lag({b}_m, {k}) OVER (ORDER BY date), 9) AS {b}_lag{k}" for b in ("sii_mean", "f10_7_mean") for k in C.LAGS] + [f"round(avg({b}) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 9) AS {b}_ma{w}" for b in ("sii_mean", "f10_7_mean") for w in C.MA_WINDOWS]
 ) + " FROM sm)"
-NAMES = [f"{b}_{x}" for b in ("sii_mean", "f10_7_mean") for x in (*[f"ma{w}" for w in WINDOWS], "lag1", "lag3")]
+NAMES = [f"{b}_{x}" for b in ("sii_mean", "f10_7_mean") for x in (*[f"ma{w}" for w in C.MA_WINDOWS], *[f"lag{k}" for k in C.LAGS])]
 _kind = f"{PANEL}, pb AS (SELECT *, {BIN_ID} AS bin_id, {BIN_LABEL} AS bin_label FROM panel)"
 
 
@@ -51,7 +52,8 @@ def stratified(spark, d):
 
 
 _stratified = f"{_kind}, {_features}, {SCENARIO_ROWS}, str AS (SELECT scenario, pb.*, feat.* EXCLUDE (date) FROM pb JOIN scen ON region_flags & required = required JOIN feat ON feat.date = pb.date)"
-_long = f"{_stratified}, long AS (" + " UNION ALL ".join(f"SELECT scenario, bin_id, date, lat_id, lon_id, y, '{n}' AS feature, {n} AS x FROM str WHERE {n} IS NOT NULL AND y IS NOT NULL" for n in NAMES) + ")"
+_structs = ", ".join(f"{{'feature': '{n}', 'x': {n}}}" for n in NAMES)
+_long = f"{_stratified}, lg AS (SELECT scenario, bin_id, date, lat_id, lon_id, y, unnest([{_structs}]) AS u FROM str), long AS MATERIALIZED (SELECT scenario, bin_id, date, lat_id, lon_id, y, u.feature AS feature, u.x AS x FROM lg WHERE u.x IS NOT NULL AND y IS NOT NULL)"
 _keys = "scenario, bin_id, feature"
 
 
@@ -72,18 +74,27 @@ _profile = f"{_ranked}, pro AS (SELECT {_keys}, count(*) AS n, {corr_sql('rx', '
 @query("entry_stratified_rank_correlation", f"WITH {_ranked} SELECT {_keys}, count(*) AS n, round({corr_sql('rx', 'ry')}, 6) AS rho FROM rk GROUP BY ALL HAVING count(*) >= 50")
 def stratified_rank_correlation(spark, d):
     """The flagship: rank correlation of every driver feature with the target by scenario and bin, all in one plan."""
-    long = SC.melted(stratified(spark, d), NAMES, ["scenario", "bin_id", "date", "lat_id", "lon_id", "y"])
-    return K.spearman(long, "x", "y", ["scenario", "bin_id", "feature"]).where("n >= 50").select("scenario", "bin_id", "feature", "n", r6("rho").alias("rho"))
+    return profile_rows(spark, d).select("scenario", "bin_id", "feature", "n", r6("rho").alias("rho"))
+
 
+_frac = "(year(date) + (dayofyear(date) - 1) / dayofyear(make_date(year(date), 12, 31))::DOUBLE)"
+_cs = "cos(2 * pi() * {0}) AS co, sin(2 * pi() * {0}) AS si".format(_frac)
+_trend = (
+    f"{PANEL}, h0 AS (SELECT lat_id, lon_id, date, y, {_cs}, min(date) OVER g AS d0, max(date) OVER g AS d1, count(*) OVER g AS n FROM panel WHERE y IS NOT NULL WINDOW g AS (PARTITION BY lat_id, lon_id)), "
+    "h AS (SELECT *, coalesce(date_diff('day', d0, date) / nullif(date_diff('day', d0, d1), 0)::DOUBLE, 0) AS t FROM h0 WHERE n >= 40), "
+    "v AS (SELECT lat_id, lon_id, count(*) AS n, avg(y) AS my, avg(t) AS mt, avg(co) AS mc, avg(si) AS ms, covar_pop(t, t) AS aa, covar_pop(co, co) AS bb, covar_pop(si, si) AS ee, covar_pop(t, co) AS ab, covar_pop(t, si) AS ae, covar_pop(co, si) AS be, covar_pop(t, y) AS ay, covar_pop(co, y) AS bq, covar_pop(si, y) AS ey FROM h GROUP BY 1, 2), "
+    "vi AS (SELECT *, bb * ee - be * be AS i11, ae * be - ab * ee AS i12, ab * be - ae * bb AS i13, aa * ee - ae * ae AS i22, ab * ae - aa * be AS i23, aa * bb - ab * ab AS i33 FROM v), vd AS (SELECT *, aa * i11 + ab * i12 + ae * i13 AS det FROM vi), "
+    "vb AS (SELECT *, (i11 * ay + i12 * bq + i13 * ey) / det AS b1, (i12 * ay + i22 * bq + i23 * ey) / det AS b2, (i13 * ay + i23 * bq + i33 * ey) / det AS b3 FROM vd), "
+    "ve AS (SELECT lat_id, lon_id, h.y, vb.n, my, mt, mc, ms, b1, b2, b3, h.y - (my + b1 * (t - mt) + b2 * (co - mc) + b3 * (si - ms)) AS e FROM h JOIN vb USING (lat_id, lon_id))"
+)
 
-@query("K1_harmonic_parameters")
+
+@query("K1_harmonic_parameters", f"WITH {_trend} SELECT lat_id, lon_id, round(max(my - b1 * mt - b2 * mc - b3 * ms), 5) AS alpha0, round(max(b1), 5) AS alpha_t, round(max(b2), 5) AS beta_cos, round(max(b3), 5) AS beta_sin, round(sqrt(max(b2) ** 2 + max(b3) ** 2), 5) AS amplitude, round(atan2(max(b3), max(b2)), 5) AS phase, round(stddev_pop(e), 5) AS sigma, round(1 - sum(e * e) / (var_pop(y) * count(*)), 5) AS r_squared, max(n) AS n_obs FROM ve GROUP BY 1, 2")
 def _(spark, d):
     parameters, _ = M.harmonic_fit(panel(spark, d), "y", ["lat_id", "lon_id"])
-    return parameters.select("lat_id", "lon_id", *[r6(x).alias(x) for x in parameters.columns[2:-1]], "n_obs")
+    return parameters.select("lat_id", "lon_id", *[F.round(x, 5).alias(x) for x in parameters.columns[2:-1]], "n_obs")
 
 
-_frac = "(year(date) + (dayofyear(date) - 1) / dayofyear(make_date(year(date), 12, 31))::DOUBLE)"
-_cs = "cos(2 * pi() * {0}) AS co, sin(2 * pi() * {0}) AS si".format(_frac)
 _cc, _ss, _cos_sin, _cy, _sy = "covar_pop(co, co)", "covar_pop(si, si)", "covar_pop(co, si)", "covar_pop(co, y)", "covar_pop(si, y)"
 _det = f"({_cc} * {_ss} - {_cos_sin} * {_cos_sin})"
 _harm = f"{PANEL}, h AS (SELECT lat_id, lon_id, date, y, {_cs} FROM panel), b AS (SELECT lat_id, lon_id, count(*) AS n, ({_cy} * {_ss} - {_sy} * {_cos_sin}) / {_det} AS bc, ({_sy} * {_cc} - {_cy} * {_cos_sin}) / {_det} AS bs, avg(y) AS my, avg(co) AS mc, avg(si) AS ms FROM h GROUP BY 1, 2 HAVING count(*) >= 40)"
@@ -114,9 +125,13 @@ def _(spark, d):
     return K.neff_full(ranked, "x", "y", ["lat_id"], ["date"]).select("lat_id", "n", F.round("n_eff", 4).alias("n_eff"), r6("neff_factor").alias("neff_factor"))
 
 
+def strata_rows(spark, d):
+    return J.by_scenario(binned_panel(spark, d))
+
+
 def profile_rows(spark, d):
     families = {"SII": [n for n in NAMES if n.startswith("sii")], "F10.7": [n for n in NAMES if n.startswith("f10")]}
-    return SC.profiles(stratified(spark, d), families, "y", ["scenario", "bin_id"])
+    return SC.daily_profiles(strata_rows(spark, d), features(spark, d), families, "y", ["scenario", "bin_id"])
 
 
 @query("K5_neff_lag1", f"WITH {_profile} SELECT {_keys}, n, round(greatest(2, n * (1 - pr) / (1 + pr)), 4) AS n_eff FROM pro")
@@ -155,9 +170,9 @@ def _(spark, d):
 
 
 def pair_rows(spark, d):
-    modes = [("MA", w, f"ma{w}") for w in WINDOWS] + [("LAG", k, f"lag{k}") for k in (1, 3)]
+    modes = [("MA", w, f"ma{w}") for w in C.MA_WINDOWS] + [("LAG", k, f"lag{k}") for k in C.LAGS]
     twins = {(m, w): (f"sii_mean_{x}", f"f10_7_mean_{x}") for m, w, x in modes}
-    return SC.pairs(stratified(spark, d), twins, "y", ["scenario", "bin_id"])
+    return SC.daily_pairs(strata_rows(spark, d), features(spark, d), twins, "y", ["scenario", "bin_id"])
 
 
 @query("K10_marker_profiles", f"WITH {_profile} SELECT scenario, bin_id, CASE WHEN feature LIKE 'sii%' THEN 'SII' ELSE 'F10.7' END AS family, feature, CASE WHEN feature LIKE '%_ma%' THEN 'MA' ELSE 'LAG' END AS mode, CAST(regexp_extract(feature, '_(ma|lag)([0-9]+)$', 2) AS INTEGER) AS window_value, n, round(rho, 6) AS rho FROM pro")
@@ -171,38 +186,60 @@ def _(spark, d):
     return out.select("scenario", "bin_id", "mode", "window_value", "n", *[F.round(x, 5).alias(x) for x in ("n_eff_used", "beta1", "beta2", "t1", "t2")], "winner")
 
 
-def env_panel(spark, d, windows=WINDOWS):
-    """The binned panel with trailing means of its metrics by cell and of the driver."""
+def env_panel(spark, d, windows=WINDOWS, lags=()):
+    """The binned panel with trailing means of its metrics by cell and of the driver.
+
+    The panel's metrics are whole numbers, so their sums are exact in any order and equal means tie.
+    """
     out = panel(spark, d)
     for m in ("par", "vpd"):
         out = W.many_trailing(out, m, windows, ["lat_id", "lon_id"])
-        out = out.withColumns({f"{m}_ma{w}": F.round(f"{m}_ma{w}", 9) for w in windows})
-    return SC.binned(out, "temp").join(J.broadcast_daily(features(spark, d, windows)), "date")
+    return SC.binned(out, "temp").join(J.broadcast_daily(features(spark, d, windows, lags)), "date")
 
 
 def models(spark, d):
-    """Grid search by scenario and bin."""
+    """Grid search by scenario and bin: a model for every triple of windows."""
     strata = J.by_scenario(env_panel(spark, d)).withColumn("target", F.lit("y"))
     families = {"sii": {w: f"sii_mean_ma{w}" for w in WINDOWS}, "par": {w: f"par_ma{w}" for w in WINDOWS}, "vpd": {w: f"vpd_ma{w}" for w in WINDOWS}}
     by = ["target", "scenario", "bin_label"]
-    enough = strata.groupBy(*by).agg(F.count("y").alias("_n")).where("_n >= 50").select(*by)
-    strata = strata.join(F.broadcast(enough), by, "left_semi")
-    return M.grid_search(strata, "y", families, by, K.neff_residual(strata, "y", by, ["lat_id", "lon_id", "date"]))
+    n_eff = K.neff_residual(strata, "y", by, ["lat_id", "lon_id", "date"]).where("n >= 50")
+    return M.grid_search(strata, "y", families, by, n_eff).where("n_eff is not null")
+
+
+_env_ma = ", ".join(f"avg({m}) OVER (PARTITION BY lat_id, lon_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS {m}_ma{w}" for m in ("par", "vpd") for w in C.MA_WINDOWS)
+_grid_values = ", ".join(["{'f': 'y', 'w': 0, 'v': y}"] + [f"{{'f': '{f}', 'w': {w}, 'v': {c_}_ma{w}}}" for f, c_ in (("a", "sii_mean"), ("b", "par"), ("e", "vpd")) for w in WINDOWS])
+_grid_pairs = {"aa": "a a", "bb": "b b", "ee": "e e", "ab": "a b", "ae": "a e", "be": "b e", "ay": "a y", "bq": "b y", "ey": "e y"}
+_grid_window = {"a": "aa.w1", "b": "bb.w1", "e": "ee.w1", "y": "0"}
+_grid = (
+    f"{PANEL}, {_features}, {SCENARIO_ROWS}, ev AS (SELECT *, {BIN_LABEL} AS bin_label, {_env_ma} FROM panel), es AS (SELECT scenario, ev.*, feat.* EXCLUDE (date) FROM ev JOIN scen ON region_flags & required = required JOIN feat ON feat.date = ev.date), "
+    "el AS (SELECT scenario, bin_label, y, lag(y) OVER (PARTITION BY scenario, bin_label ORDER BY lat_id, lon_id, date) AS ly FROM es), er AS (SELECT scenario, bin_label, count(*) AS n, coalesce(covar_pop(CASE WHEN ly IS NOT NULL THEN y END, ly) / nullif(sqrt(var_pop(CASE WHEN ly IS NOT NULL THEN y END) * var_pop(ly)), 0), 0.5) AS r FROM el GROUP BY ALL), "
+    "ne AS (SELECT scenario, bin_label, CASE WHEN n > 10 THEN n * (1 - r) / (1 + r) ELSE n END AS n_eff FROM er WHERE n >= 50), "
+    "gs AS (SELECT row_number() OVER () AS rid, * FROM es WHERE " + " AND ".join(f"sii_mean_ma{w} IS NOT NULL" for w in WINDOWS) + f"), gu AS (SELECT rid, scenario, bin_label, unnest([{_grid_values}]) AS u FROM gs), gl AS MATERIALIZED (SELECT rid, scenario, bin_label, u.f AS f, u.w AS w, u.v AS v FROM gu), "
+    "cv AS MATERIALIZED (SELECT p.scenario, p.bin_label, p.f || q.f AS ff, p.w AS w1, q.w AS w2, covar_pop(p.v, q.v) * count(*) AS c, count(*) AS n FROM gl p JOIN gl q USING (rid) WHERE p.f < q.f OR (p.f = q.f AND p.w = q.w) GROUP BY ALL HAVING count(*) >= 60), "
+    "gk AS (SELECT scenario, bin_label, aa.w1 AS sw, bb.w1 AS pw, ee.w1 AS vw, aa.n, " + ", ".join(f"{k}.c AS {k}" for k in [*_grid_pairs, "yy"]) + " FROM (SELECT * FROM cv WHERE ff = 'aa') aa "
+    + " ".join(f"JOIN (SELECT * FROM cv WHERE ff = '{k}') {k} USING (scenario, bin_label)" if k in ("bb", "ee", "yy") else f"JOIN (SELECT * FROM cv WHERE ff = '{_grid_pairs[k].replace(' ', '')}') {k} ON {k}.scenario = aa.scenario AND {k}.bin_label = aa.bin_label AND {k}.w1 = {_grid_window[_grid_pairs[k][0]]} AND {k}.w2 = {_grid_window[_grid_pairs[k][-1]]}" for k in ("bb", "ee", "yy", "ab", "ae", "be", "ay", "bq", "ey"))
+    + "), gi AS (SELECT *, bb * ee - be * be AS i11, ae * be - ab * ee AS i12, ab * be - ae * bb AS i13, aa * ee - ae * ae AS i22, ab * ae - aa * be AS i23, aa * bb - ab * ab AS i33 FROM gk), gd AS (SELECT *, aa * i11 + ab * i12 + ae * i13 AS det FROM gi), "
+    "gb AS (SELECT *, (i11 * ay + i12 * bq + i13 * ey) / det AS b1, (i12 * ay + i22 * bq + i23 * ey) / det AS b2, (i13 * ay + i23 * bq + i33 * ey) / det AS b3 FROM gd), gr AS (SELECT *, greatest(yy - b1 * ay - b2 * bq - b3 * ey, 0) AS rss FROM gb JOIN ne USING (scenario, bin_label))"
+)
+
+
+@query("K11_grid_search", f"WITH {_grid} SELECT scenario, bin_label, sw AS sii_window, pw AS par_window, vw AS vpd_window, n, round(b1, 5) AS beta_sii FROM gr")
+def _(spark, d):
+    return models(spark, d).where("n >= 60").select("scenario", "bin_label", "sii_window", "par_window", "vpd_window", "n", F.round("beta_sii", 5).alias("beta_sii"))
 
 
-_env_ma = ", ".join(f"round(avg({m}) OVER (PARTITION BY lat_id, lon_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW), 9) AS {m}_ma{w}" for m in ("par", "vpd") for w in WINDOWS)
-_grid = f"{PANEL}, {_features}, {SCENARIO_ROWS}, ev AS (SELECT *, {BIN_LABEL} AS bin_label, {_env_ma} FROM panel), gs AS (SELECT scenario, bin_label, y, " + ", ".join([f"sii_mean_ma{w}" for w in WINDOWS] + [f"{m}_ma{w}" for m in ("par", "vpd") for w in WINDOWS]) + " FROM ev JOIN scen ON region_flags & required = required JOIN feat ON feat.date = ev.date WHERE " + " AND ".join([f"sii_mean_ma{w} IS NOT NULL" for w in WINDOWS]) + ")"
+_t = lambda b, i: f"round({b} / sqrt({i} / det * rss / greatest(1, n - 4)), 3)"
 
 
-@query("K11_grid_search", f"WITH {_grid}, k AS (SELECT scenario, bin_label, count(*) AS n, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(e, e) AS ee, covar_pop(a, b) AS ab, covar_pop(a, e) AS ae, covar_pop(b, e) AS be, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(e, y) AS ey, sw, pw, vw FROM (" + " UNION ALL ".join(f"SELECT scenario, bin_label, y, sii_mean_ma{s} AS a, par_ma{p} AS b, vpd_ma{v} AS e, {s} AS sw, {p} AS pw, {v} AS vw FROM gs" for s in WINDOWS for p in WINDOWS for v in WINDOWS) + ") GROUP BY scenario, bin_label, sw, pw, vw HAVING count(*) >= 60) SELECT scenario, bin_label, sw AS sii_window, pw AS par_window, vw AS vpd_window, n, round((ay * (bb * ee - be * be) - ab * (by_ * ee - be * ey) + ae * (by_ * be - bb * ey)) / (aa * (bb * ee - be * be) - ab * (ab * ee - be * ae) + ae * (ab * be - bb * ae)), 5) AS beta_sii FROM k")
+@query("K11_grid_statistics", f"WITH {_grid} SELECT scenario, bin_label, sw AS sii_window, pw AS par_window, vw AS vpd_window, round(rss, 0) AS rss, round(n_eff, 3) AS n_eff, {_t('b1', 'i11')} AS t_sii, {_t('b2', 'i22')} AS t_par, {_t('b3', 'i33')} AS t_vpd FROM gr")
 def _(spark, d):
-    return models(spark, d).where("n >= 60").select("scenario", "bin_label", "sii_window", "par_window", "vpd_window", "n", F.round("beta_sii", 5).alias("beta_sii"))
+    out = models(spark, d).where("n >= 60")
+    return out.select("scenario", "bin_label", "sii_window", "par_window", "vpd_window", F.round("rss", 0).alias("rss"), *[F.round(x, 3).alias(x) for x in ("n_eff", "t_sii", "t_par", "t_vpd")])
 
 
-@query("K11_grid_statistics")
+@query("K11_p_values")
 def _(spark, d):
-    out = models(spark, d)
-    return out.select("scenario", "bin_label", "sii_window", "par_window", "vpd_window", *[F.round(x, 5).alias(x) for x in ("rss", "n_eff", "t_sii", "p_sii", "t_par", "p_par", "t_vpd", "p_vpd")])
+    return models(spark, d).select("scenario", "bin_label", "sii_window", "par_window", "vpd_window", *[F.round(x, 5).alias(x) for x in ("p_sii", "p_par", "p_vpd")])
 
 
 @query("A16_meta_table")
@@ -241,12 +278,12 @@ def _(spark, d):
 
 
 _mk = "scenario, bin_id, parameter_1, win"
-_mech = f"{PANEL}, {_features}, {SCENARIO_ROWS}, ev AS (SELECT *, {BIN_ID} AS bin_id, {_env_ma} FROM panel), ml AS (" + " UNION ALL ".join(f"SELECT scenario, bin_id, '{m}_ma{w}' AS parameter_1, {w} AS win, ev.date, lat_id, lon_id, sii_mean_ma{w} AS x, {m}_ma{w} AS y FROM ev JOIN scen ON region_flags & required = required JOIN feat ON feat.date = ev.date WHERE sii_mean_ma{w} IS NOT NULL" for m in ("par", "vpd") for w in WINDOWS) + f"), mr AS (SELECT {_mk}, x, y, {avg_rank_sql('x', _mk)} AS rx, {avg_rank_sql('y', _mk)} AS ry, lag(x) OVER o AS lx, lag(y) OVER o AS ly FROM ml WINDOW o AS (PARTITION BY {_mk} ORDER BY date, lat_id, lon_id)), ms AS (SELECT {_mk}, count(*) AS n, {corr_sql('rx', 'ry')} AS rho, {_product} AS pr FROM mr GROUP BY ALL HAVING count(*) >= 100), mz AS (SELECT *, greatest(2, n * (1 - pr) / (1 + pr)) AS e, atanh(greatest(least(rho, 0.99), -0.99)) AS z FROM ms)"
+_mech = f"{PANEL}, {_features}, {SCENARIO_ROWS}, ev AS (SELECT *, {BIN_ID} AS bin_id, {_env_ma} FROM panel), ml AS (" + " UNION ALL ".join(f"SELECT scenario, bin_id, '{m}_ma{w}' AS parameter_1, {w} AS win, ev.date, lat_id, lon_id, sii_mean_ma{w} AS x, {m}_ma{w} AS y FROM ev JOIN scen ON region_flags & required = required JOIN feat ON feat.date = ev.date WHERE sii_mean_ma{w} IS NOT NULL" for m in ("par", "vpd") for w in C.MA_WINDOWS) + f"), mr AS (SELECT {_mk}, x, y, {avg_rank_sql('x', _mk)} AS rx, {avg_rank_sql('y', _mk)} AS ry, lag(x) OVER o AS lx, lag(y) OVER o AS ly FROM ml WINDOW o AS (PARTITION BY {_mk} ORDER BY date, lat_id, lon_id)), ms AS (SELECT {_mk}, count(*) AS n, {corr_sql('rx', 'ry')} AS rho, {_product} AS pr FROM mr GROUP BY ALL HAVING count(*) >= 100), mz AS (SELECT *, greatest(2, n * (1 - pr) / (1 + pr)) AS e, atanh(greatest(least(rho, 0.99), -0.99)) AS z FROM ms)"
 
 
 @query("K14_mechanism", f'WITH {_mech} SELECT scenario, parameter_1, CAST(win AS INTEGER) AS "window", round(tanh(sum(z * greatest(e - 3, 1)) / sum(greatest(e - 3, 1))), 6) AS spearman_r, round(sum(e), 3) AS n_eff_total FROM mz GROUP BY scenario, parameter_1, win')
 def _(spark, d):
-    out = SC.mechanism(env_panel(spark, d), WINDOWS, "sii_mean", ["par", "vpd"])
+    out = SC.mechanism(env_panel(spark, d, C.MA_WINDOWS), C.MA_WINDOWS, "sii_mean", ["par", "vpd"])
     return out.select("scenario", "parameter_1", "window", r6("spearman_r").alias("spearman_r"), F.round("n_eff_total", 3).alias("n_eff_total"))
 
 

@@ -48,12 +48,12 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     bit = lambda m, b, other=0: F.when(k % m == 0, F.lit(b)).otherwise(F.lit(other))
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), k == F.col("n_nationkey"))
     keyed = joined.select(F.to_date("o_orderdate").alias("date"), (k * 50).cast("short").alias("lat_id"), (F.col("n_regionkey") * 50).cast("short").alias("lon_id"), (bit(3, 1) + bit(4, 2) + bit(5, 8) + bit(2, 32, 16)).cast("short").alias("region_flags"), "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    return keyed.groupBy("date", "lat_id", "lon_id", "region_flags").agg((F.avg("l_extendedprice") / 1009).alias("y"), F.avg("l_quantity").alias("temp"), F.round(F.avg("l_discount") * 100, 9).alias("par"), F.round(F.avg("l_tax") * 100, 9).alias("vpd"), F.count(F.lit(1)).alias("n_obs"))
+    return keyed.groupBy("date", "lat_id", "lon_id", "region_flags").agg((F.avg("l_extendedprice") / 1009).alias("y"), F.avg("l_quantity").alias("temp"), F.round(F.avg("l_discount") * 1e6).alias("par"), F.round(F.avg("l_tax") * 1e6).alias("vpd"), F.count(F.lit(1)).alias("n_obs"))
 
 
 PANEL = """panel AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(c_nationkey * 50 AS SMALLINT) AS lat_id, CAST(n_regionkey * 50 AS SMALLINT) AS lon_id,
     CAST((CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN c_nationkey % 4 = 0 THEN 2 ELSE 0 END) + (CASE WHEN c_nationkey % 5 = 0 THEN 8 ELSE 0 END) + (CASE WHEN c_nationkey % 2 = 0 THEN 32 ELSE 16 END) AS SMALLINT) AS region_flags,
-    avg(l_extendedprice) / 1009 AS y, avg(l_quantity) AS temp, round(avg(l_discount) * 100, 9) AS par, round(avg(l_tax) * 100, 9) AS vpd, count(*) AS n_obs
+    avg(l_extendedprice) / 1009 AS y, avg(l_quantity) AS temp, round(avg(l_discount) * 1e6) AS par, round(avg(l_tax) * 1e6) AS vpd, count(*) AS n_obs
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4)"""
 
 #: Scenarios and bins in SQL.
@@ -69,8 +69,7 @@ RESULT_WINDOWS = 26
 def results(spark: SparkSession, d: str) -> DataFrame:
     """A results table: target, scenario, bin_id, bin_label, omni_var, window, rho, p_adj (some missing), n_eff, n.
 
-    A row for every part; windows are 1 to RESULT_WINDOWS, whatever the number of parts. RESULTS still stops at p_partkey 2000,
-    up to which both are equal.
+    A row for every part; windows are 1 to RESULT_WINDOWS, whatever the number of parts.
     """
     parts, c = table(spark, d, "part"), F.col
     window = (F.floor(c("p_partkey") / 80) % RESULT_WINDOWS + 1).cast("int")
@@ -84,6 +83,6 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 RESULTS = """results AS (SELECT ['t740', 't757', 't771', 'stress'][1 + p_partkey % 4] AS target, ['Global_High_LAI', 'SAA_High_LAI', 'Control_North', 'Sahara_Barren'][1 + (p_partkey // 4) % 4] AS scenario,
     CAST((p_partkey // 16) % 5 AS INTEGER) AS bin_id, ['Cold', 'Cool', 'Optimum', 'Warm_Stress', 'Extreme_Heat'][1 + (p_partkey // 16) % 5] AS bin_label,
-    ['sii_mean', 'par', 'vpd', 'f10_7_mean'][1 + p_size % 4] || '_ma' || CAST(p_partkey // 80 + 1 AS VARCHAR) AS omni_var, CAST(p_partkey // 80 + 1 AS INTEGER) AS "window",
+    ['sii_mean', 'par', 'vpd', 'f10_7_mean'][1 + p_size % 4] || '_ma' || CAST((p_partkey // 80) % 26 + 1 AS VARCHAR) AS omni_var, CAST((p_partkey // 80) % 26 + 1 AS INTEGER) AS "window",
     (p_partkey * 7919 % 2001) / 1000.0::DOUBLE - 1 AS rho, CASE WHEN p_partkey % 17 <> 0 THEN (p_partkey * 104729 % 10007) / 10007.0::DOUBLE * (p_partkey * 31 % 7) / 6.0::DOUBLE END AS p_adj, p_size * 3 + 2.5::DOUBLE AS n_eff, CAST(p_size * 5 AS BIGINT) AS n
-    FROM part WHERE p_partkey <= 2000)"""
+    FROM part)"""

@@ -21,6 +21,7 @@ from gridloom.operators import correlation as K
 from gridloom.operators import joins as J
 from gridloom.operators import models as M
 from gridloom.operators import quality as Q
+from gridloom.operators import screening as SC
 from gridloom.operators import windows as W
 from gridloom.sources import readers, writers
 from gridloom.streaming import daily as ST
@@ -327,3 +328,79 @@ def test_trailing_mean_carries_its_tail_across_batches(spark, tmp_path):
 def test_bits_of_scenarios_and_counts(spark):
     rows = spark.createDataFrame([(f,) for f in (32, 33, 34, 24, 0)], "region_flags int")
     assert Counter(r.scenario for r in J.by_scenario(rows).collect()) == {"Global_High_LAI": 3, "SAA_High_LAI": 1, "Control_North": 1, "Sahara_Barren": 1}
+
+
+# --- screening of daily features -----------------------------------------------------------------
+
+
+def screened_panel(spark, seed=5, n_days=70, gaps=True):
+    """Rows of two strata with ties in y, and a daily series whose features are missing on different days."""
+    rng = np.random.default_rng(seed)
+    rows = [(d, int(rng.integers(0, 4)), i, g, None if rng.random() < 0.05 else float(rng.integers(0, 30))) for d in days(n_days) for g in ("a", "b") for i in range(int(rng.integers(0, 5)))]
+    panel = spark.createDataFrame(rows, "date date, lat_id int, lon_id int, stratum string, y double").dropDuplicates(["date", "lat_id", "lon_id", "stratum"])
+    series = [(d, *(None if gaps and (i < k * 5 or (k == 2 and i % 9 == 0)) else float(np.round(rng.normal(), 1)) for k in range(4))) for i, d in enumerate(days(n_days))]
+    return panel, spark.createDataFrame(series, "date date, s_ma1 double, s_ma2 double, f_ma1 double, f_ma2 double")
+
+
+def as_rows(df, keys):
+    return {tuple(r[k] for k in keys): {c: r[c] for c in df.columns if c not in keys} for r in df.collect()}
+
+
+def test_daily_screening_equals_screening_of_rows(spark):
+    panel, series = screened_panel(spark)
+    families = {"SII": ["s_ma1", "s_ma2"], "F10.7": ["f_ma1", "f_ma2"]}
+    want = as_rows(SC.profiles(panel.join(series, "date"), families, "y", ["stratum"], least=20), ["stratum", "feature"])
+    got = as_rows(SC.daily_profiles(panel, series, families, "y", ["stratum"], least=20), ["stratum", "feature"])
+    assert set(got) == set(want) and len(want) == 8
+    for k, w in want.items():
+        assert (got[k]["n"], got[k]["family"], got[k]["mode"], got[k]["window_value"]) == (w["n"], w["family"], w["mode"], w["window_value"])
+        assert np.allclose([got[k][c] for c in ("rho", "n_eff", "p_adj", "z")], [w[c] for c in ("rho", "n_eff", "p_adj", "z")], rtol=1e-9)
+
+
+def test_daily_pairs_equal_pairs_of_rows(spark):
+    panel, series = screened_panel(spark, 6)
+    twins = {("MA", 1): ("s_ma1", "f_ma1"), ("MA", 2): ("s_ma2", "f_ma2")}
+    keys = ["stratum", "mode", "window_value"]
+    want, got = (as_rows(x, keys) for x in (SC.pairs(panel.join(series, "date"), twins, "y", ["stratum"], least=20), SC.daily_pairs(panel, series, twins, "y", ["stratum"], least=20)))
+    assert set(got) == set(want) and len(want) == 4
+    for k, w in want.items():
+        assert got[k]["winner"] == w["winner"] and got[k]["n"] == w["n"]
+        assert np.allclose([got[k][c] for c in ("n_eff_used", "beta1", "beta2", "t1", "t2")], [w[c] for c in ("n_eff_used", "beta1", "beta2", "t1", "t2")], rtol=1e-8)
+
+
+def test_daily_screening_of_nothing_and_of_constants(spark):
+    panel, series = screened_panel(spark, 7, 30, gaps=False)
+    families = {"SII": ["s_ma1", "s_ma2"]}
+    assert SC.daily_profiles(panel.limit(0), series, families, "y", ["stratum"], least=1).collect() == []
+    flat = SC.daily_profiles(panel.where("y is not null").withColumn("y", F.lit(3.0)), series, families, "y", ["stratum"], least=1).collect()
+    assert len(flat) == 4 and all(r.rho is None and r.n_eff == 2.0 and r.z is None and r.p_adj is None for r in flat)
+
+
+def test_ranked_values_equal_average_ranks(spark):
+    rng = np.random.default_rng(8)
+    values = pd.Series(rng.integers(0, 400, 3000) / 7)
+    rows = spark.createDataFrame([(1, float(v)) for v in values], "k int, _y double")
+    got = W.ranked_values(rows.groupBy("k", "_y").agg(F.count(F.lit(1)).alias("_c")), ["k"], ["k"]).toPandas().set_index("_y")
+    want = pd.DataFrame({"y": values, "r": values.rank()}).drop_duplicates().set_index("y")
+    assert np.allclose(got["_r"].sort_index(), want["r"].sort_index()) and (got["_n"] == 3000).all()
+
+
+def test_grid_search_equals_least_squares(spark):
+    rng = np.random.default_rng(9)
+    n = 200
+    x = {f"{f}{w}": rng.normal(size=n) + 100 * (f == "a") for f in "abc" for w in (1, 2)}
+    y = 2 * x["a1"] - x["b2"] + 0.5 * x["c1"] + rng.normal(size=n)
+    names = [*x]
+    rows = [("g", float(y[i]) if i % 50 else None, *(float("nan") if i == 7 and c == "b1" else float(x[c][i]) for c in names)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, y double, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    n_eff = spark.createDataFrame([("g", 90.0)], "k string, n_eff double")
+    got = M.grid_search(df, "y", {f: {w: f"{f}{w}" for w in (1, 2)} for f in "abc"}, ["k"], n_eff).collect()
+    use = np.array([i for i in range(n) if i % 50 and i != 7])
+    assert len(got) == 8
+    for r in got:
+        design = np.column_stack([x[f"a{r.a_window}"], x[f"b{r.b_window}"], x[f"c{r.c_window}"], np.ones(n)])[use]
+        beta, rss, *_ = np.linalg.lstsq(design, y[use], rcond=None)
+        se = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * rss[0] / (len(use) - 4))
+        assert r.n == len(use) and r.rss == pytest.approx(rss[0])
+        assert np.allclose([r.beta_a, r.beta_b, r.beta_c], beta[:3]) and np.allclose([r.t_a, r.t_b, r.t_c], (beta / se)[:3])
+        assert np.allclose([r.p_a, r.p_b, r.p_c], D.t_two_sided(np.abs(beta / se)[:3], 86.0))
