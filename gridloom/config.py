@@ -52,3 +52,4 @@ P_FLOOR = 1e-16
 P_OPACITY = ((1e-16, 1.0), (1e-8, 0.8), (1e-4, 0.6), (1e-2, 0.4), (0.05, 0.15))
 #: The permutation test.
 SURROGATES, SURROGATE_SEED, BAND_LOW, BAND_HIGH = 500, 12032026, 20, 30
+SURROGATE_SCENARIOS, SURROGATE_LEAST = ("Global_High_LAI", "Control_North"), 100

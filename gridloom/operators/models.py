@@ -129,13 +129,8 @@ def year_orders(years: Sequence[int], draws: int, seed: int = C.SURROGATE_SEED)
     if len(years) < 3:
         raise ValueError("fewer than three years can't be permuted")
     rng, own = np.random.default_rng(seed), np.array(sorted(years))
-    out = []
-    for _ in range(draws):
-        order, tries = rng.permutation(own), 0
-        while np.array_equal(order, own) and tries < 20:
-            order, tries = rng.permutation(own), tries + 1
-        out.append([int(y) for y in order])
-    return out
+    moved = lambda: next((o for o in (rng.permutation(own) for _ in range(21)) if (o != own).any()), own)
+    return [moved().tolist() for _ in range(draws)]
 
 
 def average_ranks_weighted(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -146,51 +141,61 @@ def average_ranks_weighted(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (before + (total + 1) / 2)[where]
 
 
-def surrogate_spectra(spark: SparkSession, residuals: DataFrame, daily: DataFrame, base: str, windows: Sequence[int], draws: int = C.SURROGATES, seed: int = C.SURROGATE_SEED) -> DataFrame:
-    """kind, surrogate_id, window, rho: rank correlation of residuals with the base's strict trailing means, for the series as it
-    is (observed, id -1) and with its years permuted.
+def surrogate_spectra(spark: SparkSession, residuals: DataFrame, daily: DataFrame, base: str, windows: Sequence[int], draws: int = C.SURROGATES, seed: int = C.SURROGATE_SEED, by: Sequence[str] = (), least: int = 1) -> DataFrame:
+    """by, kind, surrogate_id, window, rho: rank correlation of a group's residuals with the base's strict trailing means, for the
+    series as it is (observed, id -1) and with its years permuted.
 
     The series has one value a day, so residuals count only through each day's number of rows and sum of ranks; that is
-    one aggregation of the data, whatever the draws. Means run over the residuals' own days; days without
-    all windows are left out before ranking, for all draws alike.
+    one aggregation of the data, whatever the draws and groups. Means run over the group's own days; days without
+    all windows are left out before ranking, for all draws alike. Groups with fewer than three years, or fewer than ``least`` rows
+    left, give no rows. Groups with the same years have the same orders. ``by`` names few groups (targets, scenarios, bins): the driver holds a
+    row for each of their days.
     """
-    own = residuals.where(F.col("residual").isNotNull()).select("date", "residual")
-    series = daily.join(own.select("date").distinct(), "date", "left_semi").where(F.col(base).isNotNull())
-    skipped = max(windows)
-    # One row a day of the series, some thousands: the only table that the driver holds.
-    days = series.select("date", F.year("date").alias("year"), F.col(base).cast("double").alias("x")).orderBy("date").toPandas()
-    used = spark.createDataFrame([(d,) for d in days["date"].iloc[skipped:]], "date date")
-    cells = own.join(F.broadcast(used), "date").groupBy(F.lit(0).alias("_key"), "date", F.col("residual").alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+    skipped, group = max(windows), F.struct(*by) if by else F.lit(0)
+    own = residuals.where(F.col("residual").isNotNull()).select(group.alias("_key"), "date", F.col("residual").alias("_y"))
+    series = daily.where(F.col(base).isNotNull()).select("date", F.col(base).cast("double").alias("x"))
+    days = own.select("_key", "date").distinct().join(F.broadcast(series), "date").withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("date")))
+    used = days.where(F.col("_i") > skipped).select("_key", "date")
+    cells = own.join(F.broadcast(used), ["_key", "date"]).groupBy("_key", "date", "_y").agg(F.count(F.lit(1)).alias("_c"))
     ranks = W.ranked_values(cells.groupBy("_key", "_y").agg(F.sum("_c").alias("_c")), ["_key"], ["_key"])
     r, times = F.col("_r"), F.col("_c")
-    sums = cells.join(ranks, ["_key", "_y"]).groupBy("date").agg(F.sum("_c").alias("n"), F.sum(r * times).alias("s"), F.sum(r * r * times).alias("q")).orderBy("date").toPandas()
-    n, s, q = (sums[c].to_numpy(float) for c in "nsq")
-    total = n.sum()
-    y_ss = q.sum() - s.sum() ** 2 / total if total else 0.0
-    blocks = {int(y): g["x"].to_numpy() for y, g in days.groupby("year")}
-    orders = [sorted(blocks), *year_orders([*blocks], draws, seed)]
+    sums = cells.join(ranks, ["_key", "_y"]).groupBy("_key", "date").agg(F.sum("_c").alias("n"), F.sum(r * times).alias("s"), F.sum(r * r * times).alias("q"))
+    # Some thousand days a group: the only table that the driver holds.
+    names = [f"_k{i}" for i in range(len(by))]
+    held = days.join(sums, ["_key", "date"], "left").select(*[F.col("_key")[c].alias(k) for c, k in zip(by, names)], F.lit(0).alias("_all"), F.year("date").alias("year"), "x", "n", "s", "q").orderBy(*names, "date").toPandas()
+    groups = []
+    for (*key, _), g in held.groupby([*names, "_all"], sort=False, dropna=False):
+        n, s, q = (g[c].iloc[skipped:].to_numpy(float) for c in "nsq")
+        if g["year"].nunique() >= 3 and n.sum() >= least:
+            blocks = {int(y): v["x"].to_numpy() for y, v in g.groupby("year")}
+            groups.append((key, blocks, [sorted(blocks), *year_orders([*blocks], draws, seed)], n, s, q.sum() - s.sum() ** 2 / n.sum()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i in pdf["id"]:
-                x = np.concatenate([blocks[y] for y in orders[i]])
-                running = np.r_[0.0, np.cumsum(x)]
+            for at, i in (divmod(int(v), draws + 1) for v in pdf["id"]):
+                key, blocks, orders, n, s, y_ss = groups[at]
+                total = n.sum()
+                running = np.r_[0.0, np.cumsum(np.concatenate([blocks[y] for y in orders[i]]))]
                 for w in windows:
-                    mean = (running[skipped : len(x)] - running[skipped - w : len(x) - w]) / w
+                    mean = (running[skipped:-1] - running[skipped - w : -1 - w]) / w
                     r = average_ranks_weighted(np.round(mean, 9), n)
                     cov, x_ss = (r * s).sum() - (r * n).sum() * s.sum() / total, (r * r * n).sum() - (r * n).sum() ** 2 / total
-                    rows.append(("surrogate" if i else "observed", int(i) - 1, w, cov / np.sqrt(x_ss * y_ss) if x_ss > 0 and y_ss > 0 else None))
-            yield pd.DataFrame(rows, columns=["kind", "surrogate_id", "window", "rho"])
+                    rows.append((*key, "surrogate" if i else "observed", i - 1, w, cov / np.sqrt(x_ss * y_ss) if x_ss > 0 and y_ss > 0 else None))
+            yield pd.DataFrame(rows, columns=[*by, "kind", "surrogate_id", "window", "rho"])
 
-    tasks = max(1, min(len(orders), 2 * spark.sparkContext.defaultParallelism))
-    return spark.range(len(orders), numPartitions=tasks).mapInPandas(run, "kind string, surrogate_id long, window int, rho double")
+    work = len(groups) * (draws + 1)
+    tasks = max(1, min(work, 4 * spark.sparkContext.defaultParallelism))
+    keys = "".join(f"{c} {residuals.schema[c].dataType.simpleString()}, " for c in by)
+    return spark.range(work, numPartitions=tasks).mapInPandas(run, f"{keys}kind string, surrogate_id long, window int, rho double")
 
 
-def surrogate_summary(metrics: DataFrame, metric: str, two_sided: bool) -> DataFrame:
-    """Observed value, and mean, std (n - 1), quantiles and Monte-Carlo p of the surrogates' values."""
+def surrogate_summary(metrics: DataFrame, metric: str, two_sided: bool, by: Sequence[str] = ()) -> DataFrame:
+    """by, metric, the observed value, and mean, std (n - 1), quantiles and Monte-Carlo p of the surrogates' values."""
     own, drawn = F.when(F.col("kind") == "observed", F.col(metric)), F.when(F.col("kind") == "surrogate", F.col(metric))
-    observed = metrics.agg(F.max(own).alias("observed"))
+    keyed = metrics.withColumn("_g", F.struct(*by) if by else F.lit(0))
+    # A row for each group.
+    observed = keyed.join(F.broadcast(keyed.groupBy("_g").agg(F.max(own).alias("observed"))), "_g")
     beyond: Column = F.abs(drawn) >= F.abs("observed") if two_sided else drawn >= F.col("observed")
-    summed = metrics.crossJoin(F.broadcast(observed)).agg(F.lit(metric).alias("metric"), F.max("observed").alias("observed"), F.count(drawn).alias("n_surrogates"), F.avg(drawn).alias("surrogate_mean"), F.stddev_samp(drawn).alias("surrogate_std"), F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("_q"), F.sum(beyond.cast("int")).alias("_k"))
-    return summed.select("metric", "observed", "n_surrogates", "surrogate_mean", "surrogate_std", *[F.col("_q")[i].alias(f"surrogate_{n}") for i, n in enumerate(("q025", "q500", "q975"))], F.try_divide(1.0 + F.col("_k"), F.col("n_surrogates") + 1).alias("p_empirical"))
+    summed = observed.groupBy(*by).agg(F.max("observed").alias("observed"), F.count(drawn).alias("n_surrogates"), F.avg(drawn).alias("surrogate_mean"), F.stddev_samp(drawn).alias("surrogate_std"), F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("_q"), F.sum(beyond.cast("int")).alias("_k"))
+    return summed.select(*by, F.lit(metric).alias("metric"), "observed", "n_surrogates", "surrogate_mean", "surrogate_std", *[F.col("_q")[i].alias(f"surrogate_{n}") for i, n in enumerate(("q025", "q500", "q975"))], F.try_divide(1.0 + F.col("_k"), F.col("n_surrogates") + 1).alias("p_empirical"))

@@ -247,12 +247,20 @@ def _(spark, d):
     return SC.meta_table(spark, models(spark, d), ["y"], C.BIN_LABELS, [s for s, _, _ in C.SCENARIOS]).select("metric", "bin", "mask", "mode", "sii_step", "par_step", "vpd_step", F.round("t_sii", 5).alias("t_sii"))
 
 
+TESTED = ("target", "scenario", "bin_label")
+
+
 def spectra(spark, d, draws=C.SURROGATES, windows=C.MA_WINDOWS):
-    residuals = binned_panel(spark, d).where("bin_label = 'Optimum'").select("date", c("y").alias("residual"))
-    return M.surrogate_spectra(spark, residuals, daily(spark, d).select("date", "sii_mean"), "sii_mean", windows, draws)
+    """Spectra of two targets by scenario and bin; strata with too few rows have none."""
+    strata = J.by_scenario(binned_panel(spark, d)).where(c("scenario").isin(*C.SURROGATE_SCENARIOS) & c("bin_label").isNotNull())
+    targets = F.array(*[F.struct(F.lit(t).alias("target"), c(t).cast("double").alias("residual")) for t in ("y", "par")])
+    residuals = strata.select("date", "scenario", "bin_label", F.inline(targets))
+    return M.surrogate_spectra(spark, residuals, daily(spark, d).select("date", "sii_mean"), "sii_mean", windows, draws, by=TESTED, least=C.SURROGATE_LEAST)
 
 
-_sur = f"{_kind}, {DAILY}, res AS (SELECT date, y FROM pb WHERE bin_label = 'Optimum' AND y IS NOT NULL), days AS (SELECT date, sii_mean AS x, row_number() OVER (ORDER BY date) AS i FROM daily WHERE sii_mean IS NOT NULL AND date IN (SELECT date FROM res))"
+_tested = "target, scenario, bin_label"
+_sur = f"{_kind}, {DAILY}, {SCENARIO_ROWS}, st AS (SELECT * FROM pb JOIN scen ON region_flags & required = required WHERE scenario IN {C.SURROGATE_SCENARIOS}), res AS (SELECT 'y' AS target, scenario, bin_label, date, y FROM st UNION ALL SELECT 'par', scenario, bin_label, date, par FROM st), days AS (SELECT {_tested}, date, sii_mean AS x, row_number() OVER (PARTITION BY {_tested} ORDER BY date) AS i FROM (SELECT DISTINCT {_tested}, date FROM res WHERE y IS NOT NULL) JOIN daily USING (date) WHERE sii_mean IS NOT NULL)"
+_left = max(C.MA_WINDOWS)
 
 
 @query("K12_surrogates")
@@ -260,16 +268,20 @@ def _(spark, d):
     return spectra(spark, d).withColumn("rho", r6("rho"))
 
 
-@query("J11_observed_spectrum", f"WITH {_sur}, ma AS (" + " UNION ALL ".join(f"SELECT date, i, {w} AS win, avg(x) OVER (ORDER BY i ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS m FROM days" for w in (20, 25, 30)) + "), u AS (SELECT win, round(m, 9) AS m, y FROM ma JOIN res USING (date) WHERE i > 32), k AS (SELECT win, " + avg_rank_sql("m", "win") + " AS a, " + avg_rank_sql("y", "win") + " AS b FROM u) SELECT CAST(win AS INTEGER) AS \"window\", round(" + corr_sql("a", "b") + ", 6) AS rho FROM k GROUP BY win")
+@query(
+    "J11_observed_spectrum",
+    f"WITH {_sur}, ma AS (SELECT {_tested}, date, i, unnest([" + ", ".join(f"{{'win': {w}, 'm': avg(x) OVER (PARTITION BY {_tested} ORDER BY i ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)}}" for w in C.MA_WINDOWS) + f"]) AS u FROM days), u AS (SELECT {_tested}, u.win AS win, round(u.m, 9) AS m, y FROM ma JOIN res USING ({_tested}, date) WHERE i > {_left} AND y IS NOT NULL), "
+    f"k AS (SELECT {_tested}, win, " + avg_rank_sql("m", f"{_tested}, win") + " AS a, " + avg_rank_sql("y", f"{_tested}, win") + f" AS b FROM u) SELECT {_tested}, CAST(win AS INTEGER) AS \"window\", round(" + corr_sql("a", "b") + f", 6) AS rho FROM k GROUP BY {_tested}, win HAVING count(*) >= {C.SURROGATE_LEAST}",
+)
 def _(spark, d):
-    return spectra(spark, d, 1, range(18, 33)).where("kind = 'observed' and window in (20, 25, 30)").select("window", r6("rho").alias("rho"))
+    return spectra(spark, d, 0).select(*TESTED, "window", r6("rho").alias("rho"))
 
 
 @query("A22_surrogate_tests")
 def _(spark, d):
-    metrics = A.band_metrics(spectra(spark, d), ["kind", "surrogate_id"], C.BAND_LOW, C.BAND_HIGH)
-    out = M.surrogate_summary(metrics, "signed_auc", True).unionByName(M.surrogate_summary(metrics, "max_abs_rho", False)).unionByName(M.surrogate_summary(metrics, "mean_rho", True))
-    return out.withColumns({x: r6(x) for x in out.columns if x not in ("metric", "n_surrogates")})
+    metrics = A.band_metrics(spectra(spark, d), [*TESTED, "kind", "surrogate_id"], C.BAND_LOW, C.BAND_HIGH)
+    out = M.surrogate_summary(metrics, "signed_auc", True, TESTED).unionByName(M.surrogate_summary(metrics, "max_abs_rho", False, TESTED)).unionByName(M.surrogate_summary(metrics, "mean_rho", True, TESTED))
+    return out.withColumns({x: r6(x) for x in out.columns if x not in (*TESTED, "metric", "n_surrogates")})
 
 
 @query("K13_spearman_average", f"WITH {PANEL}, r AS (SELECT lat_id, {avg_rank_sql('par', 'lat_id')} AS a, {avg_rank_sql('y', 'lat_id')} AS b FROM panel) SELECT lat_id, count(*) AS n, round({corr_sql('a', 'b')}, 6) AS rho FROM r GROUP BY 1")

@@ -113,9 +113,9 @@ def _(spark, d):
     return J.with_land_cover(own, cover(spark, d), ["cell"]).select("pid", r6("lai").alias("lai"), "has_cover")
 
 
-@query("J2_dilation", "WITH g AS (SELECT p_size AS i, CAST(p_partkey % 60 AS INTEGER) AS j, max(p_retailprice) AS v FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL), o AS (SELECT * FROM (VALUES (0,0,0),(1,-1,-1),(2,-1,0),(3,-1,1),(4,0,-1),(5,0,1),(6,1,-1),(7,1,0),(8,1,1)) t(pr, di, dj)), s AS (SELECT i + di AS i, j + dj AS j, v, pr FROM g, o) SELECT i, j, arg_min(v, pr) AS v FROM s GROUP BY ALL")
+@query("J2_dilation", "WITH g AS (SELECT p_size * 2 AS i, CAST(p_partkey % 60 * 2 AS INTEGER) AS j, max(p_retailprice) AS v FROM part GROUP BY ALL), o AS (SELECT * FROM (VALUES (0,0,0),(1,-1,-1),(2,-1,0),(3,-1,1),(4,0,-1),(5,0,1),(6,1,-1),(7,1,0),(8,1,1)) t(pr, di, dj)), s AS (SELECT i + di AS i, j + dj AS j, v, pr FROM g, o) SELECT i, j, arg_min(v, pr) AS v FROM s GROUP BY ALL")
 def _(spark, d):
-    grid = table(spark, d, "part").where(c("p_partkey") % 3 == 0).groupBy(c("p_size").alias("i"), (c("p_partkey") % 60).cast("int").alias("j")).agg(F.max("p_retailprice").alias("v"))
+    grid = table(spark, d, "part").groupBy((c("p_size") * 2).alias("i"), (c("p_partkey") % 60 * 2).cast("int").alias("j")).agg(F.max("p_retailprice").alias("v"))
     return J.dilated(grid, ["i", "j"], "i", "j", 1)
 
 

@@ -15,5 +15,6 @@ def test_results_have_a_row_for_every_part(spark, tmp_path):
 
 
 def test_surrogates_are_drawn_in_full_over_all_windows(spark):
-    got = __spark_entry__.queries()["K12_surrogates"](spark, "/root/testdata/sf0.001").groupBy("kind").agg(F.countDistinct("surrogate_id").alias("draws"), F.countDistinct("window").alias("windows"))
-    assert {tuple(r) for r in got.collect()} == {("observed", 1, len(C.MA_WINDOWS)), ("surrogate", C.SURROGATES, len(C.MA_WINDOWS))}
+    got = __spark_entry__.queries()["K12_surrogates"](spark, "/root/testdata/sf0.001").groupBy("target", "scenario", "bin_label", "kind").agg(F.countDistinct("surrogate_id").alias("draws"), F.countDistinct("window").alias("windows")).collect()
+    assert {r.target for r in got} == {"y", "par"} and {r.bin_label for r in got} >= {"Optimum"}
+    assert {(r.kind, r.draws, r.windows) for r in got} == {("observed", 1, len(C.MA_WINDOWS)), ("surrogate", C.SURROGATES, len(C.MA_WINDOWS))}
