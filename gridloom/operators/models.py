@@ -152,17 +152,19 @@ def surrogate_spectra(spark: SparkSession, residuals: DataFrame, daily: DataFram
     row for each of their days.
     """
     skipped, group = max(windows), F.struct(*by) if by else F.lit(0)
-    own = residuals.where(F.col("residual").isNotNull()).select(group.alias("_key"), "date", F.col("residual").alias("_y"))
+    # Kept, as five steps below read it: the residuals are computed once.
+    own = residuals.where(F.col("residual").isNotNull()).groupBy(group.alias("_key"), "date", F.col("residual").alias("_y")).agg(F.count(F.lit(1)).alias("_c")).persist()
     series = daily.where(F.col(base).isNotNull()).select("date", F.col(base).cast("double").alias("x"))
     days = own.select("_key", "date").distinct().join(F.broadcast(series), "date").withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("date")))
     used = days.where(F.col("_i") > skipped).select("_key", "date")
-    cells = own.join(F.broadcast(used), ["_key", "date"]).groupBy("_key", "date", "_y").agg(F.count(F.lit(1)).alias("_c"))
+    cells = own.join(F.broadcast(used), ["_key", "date"])
     ranks = W.ranked_values(cells.groupBy("_key", "_y").agg(F.sum("_c").alias("_c")), ["_key"], ["_key"])
     r, times = F.col("_r"), F.col("_c")
     sums = cells.join(ranks, ["_key", "_y"]).groupBy("_key", "date").agg(F.sum("_c").alias("n"), F.sum(r * times).alias("s"), F.sum(r * r * times).alias("q"))
     # Some thousand days a group: the only table that the driver holds.
     names = [f"_k{i}" for i in range(len(by))]
     held = days.join(sums, ["_key", "date"], "left").select(*[F.col("_key")[c].alias(k) for c, k in zip(by, names)], F.lit(0).alias("_all"), F.year("date").alias("year"), "x", "n", "s", "q").orderBy(*names, "date").toPandas()
+    own.unpersist()
     groups = []
     for (*key, _), g in held.groupby([*names, "_all"], sort=False, dropna=False):
         n, s, q = (g[c].iloc[skipped:].to_numpy(float) for c in "nsq")
@@ -193,9 +195,8 @@ def surrogate_spectra(spark: SparkSession, residuals: DataFrame, daily: DataFram
 def surrogate_summary(metrics: DataFrame, metric: str, two_sided: bool, by: Sequence[str] = ()) -> DataFrame:
     """by, metric, the observed value, and mean, std (n - 1), quantiles and Monte-Carlo p of the surrogates' values."""
     own, drawn = F.when(F.col("kind") == "observed", F.col(metric)), F.when(F.col("kind") == "surrogate", F.col(metric))
-    keyed = metrics.withColumn("_g", F.struct(*by) if by else F.lit(0))
-    # A row for each group.
-    observed = keyed.join(F.broadcast(keyed.groupBy("_g").agg(F.max(own).alias("observed"))), "_g")
+    # A group of ``by`` has a row for each draw and stays in one task; without groups the one observed value goes to all rows.
+    observed = metrics.withColumn("observed", F.max(own).over(Window.partitionBy(*by))) if by else metrics.join(F.broadcast(metrics.agg(F.max(own).alias("observed"))))
     beyond: Column = F.abs(drawn) >= F.abs("observed") if two_sided else drawn >= F.col("observed")
     summed = observed.groupBy(*by).agg(F.max("observed").alias("observed"), F.count(drawn).alias("n_surrogates"), F.avg(drawn).alias("surrogate_mean"), F.stddev_samp(drawn).alias("surrogate_std"), F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("_q"), F.sum(beyond.cast("int")).alias("_k"))
     return summed.select(*by, F.lit(metric).alias("metric"), "observed", "n_surrogates", "surrogate_mean", "surrogate_std", *[F.col("_q")[i].alias(f"surrogate_{n}") for i, n in enumerate(("q025", "q500", "q975"))], F.try_divide(1.0 + F.col("_k"), F.col("n_surrogates") + 1).alias("p_empirical"))

@@ -280,7 +280,9 @@ def _(spark, d):
 @query("A22_surrogate_tests")
 def _(spark, d):
     metrics = A.band_metrics(spectra(spark, d), [*TESTED, "kind", "surrogate_id"], C.BAND_LOW, C.BAND_HIGH)
-    out = M.surrogate_summary(metrics, "signed_auc", True, TESTED).unionByName(M.surrogate_summary(metrics, "max_abs_rho", False, TESTED)).unionByName(M.surrogate_summary(metrics, "mean_rho", True, TESTED))
+    # The largest |rho| is never negative, so that its one-sided test is the two-sided one.
+    values = metrics.select(*TESTED, "kind", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), c(m).alias("value")) for m in ("signed_auc", "max_abs_rho", "mean_rho")])))
+    out = M.surrogate_summary(values, "value", True, (*TESTED, "measure")).drop("metric").withColumnRenamed("measure", "metric")
     return out.withColumns({x: r6(x) for x in out.columns if x not in (*TESTED, "metric", "n_surrogates")})
 
 
