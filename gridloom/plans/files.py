@@ -12,7 +12,7 @@ from gridloom.operators import aggregates as A
 from gridloom.operators import joins as J
 from gridloom.plans.registry import query, scratch
 from gridloom.plans.standins import POINTS, RESULTS, points, results, table
-from gridloom.sources import readers, writers
+from gridloom.sources import netcdf, readers, writers
 
 c = F.col
 
@@ -30,15 +30,20 @@ def _(spark, d):
 
 
 def grid_folder(spark, hours: int = 30):
-    """A file of arrays for each of two variables, and one that lacks them."""
+    """NetCDF files: two variables, packed and with hours since a day; one that lacks them; and a NumPy archive of later hours."""
     path = scratch(spark, "grids")
-    time = np.datetime64("2001-01-01T00", "s") + np.arange(hours).astype("timedelta64[h]")
-    lat, lon = np.arange(-4, 5) / 4, np.arange(-6, 7) / 4
-    value = (np.arange(hours)[:, None, None] * 7 + np.arange(9)[:, None] * 3 + np.arange(13)) % 50 * 1.0
-    for name, arrays in (("part-1.npz", {"t2m": value, "tcc": value / 10}), ("part-2.npz", {"d2m": value})):
-        content = io.BytesIO()
-        np.savez(content, time=time, latitude=lat, longitude=lon, **arrays)
-        writers.put_bytes(spark, f"{path}/{name}", content.getvalue())
+    hour, lat, lon = np.arange(hours), np.arange(-4, 5) / 4, np.arange(-6, 7) / 4
+    value = (hour[:, None, None] * 7 + np.arange(9)[:, None] * 3 + np.arange(13)) % 50
+    early = slice(0, 24)
+    axes = {"valid_time": (("valid_time",), hour[early].astype("i4"), {"units": "hours since 2001-01-01 00:00:00"}), "lat": (("lat",), lat, {}), "lon": (("lon",), lon, {})}
+    own, sizes = ("valid_time", "lat", "lon"), {"valid_time": 24, "lat": 9, "lon": 13}
+    packed = {"scale_factor": 0.1, "_FillValue": np.int16(-1)}
+    first = netcdf.encoded(sizes, axes | {"t2m": (own, value[early].astype("f4"), {"units": "K"}), "tcc": (own, value[early].astype("i2"), packed)}, "valid_time")
+    other = netcdf.encoded(sizes, axes | {"d2m": (own, value[early].astype("f8"), {})})
+    content = io.BytesIO()
+    np.savez(content, time=np.datetime64("2001-01-01T00", "s") + hour[24:].astype("timedelta64[h]"), latitude=lat, longitude=lon, t2m=value[24:] * 1.0, tcc=value[24:] / 10)
+    for name, file in (("part-1.nc", first), ("part-2.nc", other), ("part-3.npz", content.getvalue())):
+        writers.put_bytes(spark, f"{path}/{name}", file)
     return path
 
 
@@ -47,15 +52,31 @@ _grid = "g AS (SELECT TIMESTAMP '2001-01-01' + to_hours(CAST(h AS INTEGER)) AS t
 
 @query("SC3_grid_files", f"WITH {_grid} SELECT * FROM g")
 def _(spark, d):
-    return readers.grid_files(spark, grid_folder(spark), {"t2m": "t2m", "tcc": "tcc"}, "*.npz").drop("file")
+    return readers.grid_files(spark, grid_folder(spark), {"t2m": "t2m", "tcc": "tcc"}).drop("file").withColumn("tcc", F.round("tcc", 6))
 
 
 @query("SC5_hourly_grid_to_days", f"WITH {_grid} SELECT CAST(time AS DATE) AS date, latitude, longitude, round(avg(t2m), 6) AS t2m FROM g WHERE latitude * 2 = floor(latitude * 2) AND longitude * 2 = floor(longitude * 2) GROUP BY 1, 2, 3")
 def _(spark, d):
-    hourly = readers.grid_files(spark, grid_folder(spark), {"t2m": "t2m"}, "*.npz")
+    hourly = readers.grid_files(spark, grid_folder(spark), {"t2m": "t2m"})
     return A.cell_means(J.regridded(hourly, "t2m", ["time"]).withColumn("date", F.to_date("time")), ["date", "latitude", "longitude"], ["t2m"]).withColumn("t2m", F.round("t2m", 6))
 
 
+_swath = "CAST(i * 0.25 - 60 AS DOUBLE) AS latitude, CAST(i % 90 AS DOUBLE) AS longitude, CASE WHEN i % 7 <> 0 THEN i * 0.5::DOUBLE END AS sif"
+
+
+@query("SC6_swath_files", f"SELECT CAST(TIMESTAMP '2014-09-06' + to_days(CAST(d AS INTEGER)) AS DATE) AS date, {_swath} FROM range(3) a(d), range(400) b(i) WHERE (i + d) % 3 = 0")
+def _(spark, d):
+    path, i = scratch(spark, "swaths"), np.arange(400)
+    sif = np.where(i % 7, i * 0.5, -999999).astype("f4")
+    for day in range(4):  # the last file has no flag
+        flag = {0: "Quality_Flag", 1: "SimplyGoodOrBadQualityFlag", 2: "Quality_Flag"}.get(day, "other")
+        points = {"Latitude": (i * 0.25 - 60).astype("f4"), "Longitude": (i % 90).astype("f4"), "Daily_SIF_740nm": sif, flag: ((i + day) % 3).astype("i1")}
+        more = {"Daily_SIF_740nm": {"_FillValue": np.float32(-999999)}}
+        writers.put_bytes(spark, f"{path}/swath_Lite_1409{6 + day:02d}_v1.nc", netcdf.encoded({"point": 400}, {k: (("point",), v, more.get(k, {})) for k, v in points.items()}))
+    raw = readers.swath_files(spark, path, {"Latitude": "latitude", "Longitude": "longitude", "Daily_SIF_740nm": "sif"}, ("SimplyGoodOrBadQualityFlag", "Quality_Flag"))
+    return readers.swath_points(raw).select("date", "latitude", "longitude", "sif")
+
+
 query("SC7_full_read", "SELECT * FROM supplier")(lambda spark, d: table(spark, d, "supplier"))
 query("SC10_probed_scan", f"WITH {POINTS} SELECT pid, temp FROM points WHERE date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 50 = 0)")(lambda spark, d: J.restricted(points(spark, d), table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.to_date("o_orderdate").alias("date")).distinct(), ["date"]).select("pid", "temp"))
 query("SC12_schema", "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM lineitem)")(lambda spark, d: spark.createDataFrame([(n,) for n, _ in readers.introspect(table(spark, d, "lineitem"))], "name string"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
+from gridloom.sources import netcdf
 
 #: Places of the fields of a record, and what stands for missing there.
 FIELDS, YEAR, DAY, HOUR, KP, DST, F10 = 51, 0, 1, 2, 38, 40, 50
@@ -47,40 +48,74 @@ def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
     return timed.where(F.col("time").isNotNull()).withColumn("sii", S.sign_flip(F.col("dst")))
 
 
-def grid_files(spark: SparkSession, path: str, variables: dict[str, str], glob: str | None = None) -> DataFrame:
-    """file, time, latitude, longitude and the variables (renamed) of gridded array files, flattened.
-
-    Files are NumPy archives with time (ISO or seconds), latitude, longitude and arrays over these three; NetCDF files
-    are read where the optional netCDF4 is installed. A file that lacks a variable gives no rows.
-    """
+def _array_files(spark: SparkSession, path: str, glob: str | None, rows, schema: str) -> DataFrame:
+    """``rows`` (name, variables) -> record batches of every array file below the path; a file is one row of a task."""
     reader = spark.read.format("binaryFile")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
-    names = ["file", "time", "latitude", "longitude", *variables.values()]
-
-    def arrays(name: str, content: bytes) -> dict[str, np.ndarray]:
-        if name.endswith((".nc", ".nc4")):
-            import netCDF4
-
-            with netCDF4.Dataset("memory", memory=content) as d:
-                return {k: np.ma.filled(v[:].astype(float), np.nan) for k, v in d.variables.items()}
-        with np.load(io.BytesIO(content), allow_pickle=False) as z:
-            return {k: z[k] for k in z.files}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = arrays(name, content)
-                if not all(v in found for v in variables):
-                    continue
-                lat, lon = found["latitude"].astype(float), found["longitude"].astype(float)
-                times = found.get("time", found.get("valid_time"))
-                times = times.astype("datetime64[us]") if times.dtype.kind in "MU" else times.astype("int64").astype("datetime64[s]").astype("datetime64[us]")
-                for i, t in enumerate(times):  # one time step at a time
-                    n = len(lat) * len(lon)
-                    columns = [pa.array([name] * n), pa.array(np.full(n, t)), pa.array(np.repeat(lat, len(lon))), pa.array(np.tile(lon, len(lat))), *(pa.array(found[v][i].ravel().astype(float), from_pandas=True) for v in variables)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    return files.mapInArrow(run, "file string, time timestamp_ntz, latitude double, longitude double, " + ", ".join(f"{v} double" for v in variables.values()))
+            for name, content in zip(batch.column(0), batch.column(1)):
+                yield from rows(name.as_py(), netcdf.opened(content.as_py()))
+
+    return files.mapInArrow(run, schema)
+
+
+def grid_files(spark: SparkSession, path: str, variables: dict[str, str], glob: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """file, time, latitude, longitude, the extra dimensions' values and the variables (renamed) of gridded array files, flattened.
+
+    NetCDF (``sources.netcdf``) or NumPy archives; coordinates may be named lat, lon and valid_time. Variables lie over
+    these three in any order, and over ``extra`` (say expver); other dimensions must have length 1. Fill values are NULL, scaled values
+    unpacked, times decoded by their units. A file that lacks a variable or a coordinate gives no rows.
+    """
+    places = (("time", "valid_time", "date"), ("latitude", "lat"), ("longitude", "lon"))
+    names = ["file", "time", "latitude", "longitude", *extra, *variables.values()]
+
+    def rows(name: str, found: dict) -> Iterator[pa.RecordBatch]:
+        axes = [next((n for n in known if n in found), None) for known in places]
+        if None in axes or not all(v in found for v in (*variables, *extra)):
+            return
+        order = [axes[0], *extra, *axes[1:]]
+
+        def cube(v: netcdf.Variable) -> np.ndarray:
+            """Its values over ``order``; what it lacks of that has length 1."""
+            free = [d for d in v.dimensions if d not in order]
+            if any(v.values.shape[v.dimensions.index(d)] != 1 for d in free):
+                raise ValueError(f"{name}: a variable lies over {', '.join(free)}, too")
+            kept = [d for d in v.dimensions if d in order]
+            values = v.numbers().reshape([n for d, n in zip(v.dimensions, v.values.shape) if d in order])
+            values = values.transpose([kept.index(d) for d in order if d in kept])
+            return values.reshape([values.shape[[d for d in order if d in kept].index(d)] if d in kept else 1 for d in order])
+
+        cubes = [cube(found[v]) for v in variables]
+        coordinates = [np.atleast_1d(found[a].times() if i == 0 else found[a].numbers()) for i, a in enumerate(order)]
+        shape = tuple(map(len, coordinates))
+        for i in np.ndindex(*shape[: 1 + len(extra)]):  # one step of time at a time
+            n, flat = shape[-2] * shape[-1], lambda a: np.broadcast_to(a, shape)[i].ravel()  # noqa: E731, B023
+            steps = [pa.array(np.full(n, coordinates[k][i[k]]), from_pandas=True) for k in range(1 + len(extra))]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), steps[0], pa.array(np.repeat(coordinates[-2], shape[-1])), pa.array(np.tile(coordinates[-1], shape[-2])), *steps[1:], *(pa.array(flat(c), from_pandas=True) for c in cubes)], names)
+
+    return _array_files(spark, path, glob, rows, "file string, time timestamp_ntz, " + ", ".join(f"{v} double" for v in names[2:]))
+
+
+def swath_files(spark: SparkSession, path: str, variables: dict[str, str], quality: Sequence[str], glob: str | None = None) -> DataFrame:
+    """file, quality and the variables (renamed) of the points of swath files, whatever the variables' shape.
+
+    quality is the first of the named flags that a file has. A file without one, without a variable, or with variables of different sizes gives no
+    rows. ``swath_points`` takes the date from the name and keeps the good points.
+    """
+    names = ["file", "quality", *variables.values()]
+
+    def rows(name: str, found: dict) -> Iterator[pa.RecordBatch]:
+        flag = next((q for q in quality if q in found), None)
+        if flag is None or not all(v in found for v in variables) or len({found[v].values.size for v in (flag, *variables)}) > 1:
+            return
+        columns = [found[v].numbers().ravel() for v in (flag, *variables)]
+        for at in range(0, len(columns[0]), 50_000):
+            part = [c[at : at + 50_000] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part[0])), *(pa.array(c, from_pandas=True) for c in part)], names)
+
+    return _array_files(spark, path, glob, rows, "file string, " + ", ".join(f"{v} double" for v in names[1:]))
 
 
 def merged_months(frames: dict[str, DataFrame], keys: Sequence[str] = ("time", "latitude", "longitude")) -> DataFrame:

@@ -23,7 +23,7 @@ from gridloom.operators import models as M
 from gridloom.operators import quality as Q
 from gridloom.operators import screening as SC
 from gridloom.operators import windows as W
-from gridloom.sources import readers, writers
+from gridloom.sources import netcdf, readers, writers
 from gridloom.streaming import daily as ST
 
 
@@ -291,6 +291,58 @@ def test_grid_files(spark, tmp_path):
     assert {(r.time, r.latitude, r.longitude): r.temp for r in got}[dt.datetime(2001, 1, 1, 1), 0.25, 3.0] == 11.0
 
 
+def test_netcdf_bytes_of_the_format_description():
+    # One dimension of 5, one variable of short integers: 3 1 4 1 5.
+    raw = b"CDF\1" + bytes(4) + bytes([0, 0, 0, 10, 0, 0, 0, 1, 0, 0, 0, 3]) + b"dim\0" + bytes([0, 0, 0, 5]) + bytes(8) + bytes([0, 0, 0, 11, 0, 0, 0, 1, 0, 0, 0, 2]) + b"vx\0\0"
+    raw += bytes([0, 0, 0, 1, 0, 0, 0, 0]) + bytes(8) + bytes([0, 0, 0, 3, 0, 0, 0, 12, 0, 0, 0, 80]) + bytes([0, 3, 0, 1, 0, 4, 0, 1, 0, 5, 128, 1])
+    found = netcdf.classic(raw)
+    assert found["vx"].dimensions == ("dim",) and found["vx"].values.tolist() == [3, 1, 4, 1, 5]
+
+
+@pytest.mark.parametrize("record", [None, "t"])
+@pytest.mark.parametrize("extra", [False, True])
+def test_netcdf_round_trip(record, extra):
+    a = np.arange(15, dtype="i2").reshape(5, 3)
+    variables = {"x": (("x",), np.array([1.5, 2.5, 3.5]), {}), "a": (("t", "x"), a, {"scale_factor": 0.5, "_FillValue": np.int16(7), "note": "odd é"})}
+    if extra:
+        variables |= {"b": (("t",), np.arange(5, dtype="i1"), {"valid_min": np.int8(1)}), "word": (("t", "x"), np.full((5, 3), b"q"), {})}
+    found = netcdf.classic(netcdf.encoded({"t": 5, "x": 3}, variables, record))
+    assert all((found[k].values == v).all() and found[k].dimensions == d for k, (d, v, _) in variables.items())
+    assert found["a"].attributes["note"] == "odd é"
+    want = a * 0.5
+    want[2, 1] = np.nan
+    np.testing.assert_array_equal(found["a"].numbers(), want)
+    if extra:
+        assert np.isnan(found["b"].numbers()[0]) and found["b"].numbers()[1:].tolist() == [1, 2, 3, 4]
+
+
+def test_netcdf_times():
+    at = lambda units, v, **more: netcdf.Variable(("t",), np.array(v), {"units": units, **more}).times().tolist()
+    assert at("hours since 1900-01-01 00:00:00.0", [0, 1]) == [dt.datetime(1900, 1, 1), dt.datetime(1900, 1, 1, 1)]
+    assert at("days since 2000-1-2", [0.5, np.nan]) == [dt.datetime(2000, 1, 2, 12), None]
+    assert at("Seconds since 1970-01-01T00:00:00Z", [86400]) == [dt.datetime(1970, 1, 2)]
+    assert netcdf.Variable(("t",), np.array([60])).times().tolist() == [dt.datetime(1970, 1, 1, 0, 1)]
+    for units, more in (("months since 2000-01-01", {}), ("hours", {}), ("days since 2000-01-01", {"calendar": "360_day"})):
+        with pytest.raises(ValueError, match="aren't known"):
+            at(units, [1], **more)
+
+
+def test_grid_files_of_netcdf(spark, tmp_path):
+    t, lat, lon = (("valid_time",), np.array([1, 2], "i4"), {"units": "days since 2001-01-01"}), (("lat",), np.array([0.0, 0.5]), {}), (("lon",), np.array([1.0, 2.0, 3.0]), {})
+    versions = (("expver",), np.array([1, 5], "i4"), {})
+    v = np.arange(24, dtype="f8").reshape(3, 2, 2, 2)  # lon, valid_time, expver, lat
+    v[0, 0, 0, 0] = -9
+    sizes = {"lon": 3, "valid_time": 2, "expver": 2, "lat": 2, "one": 1}
+    axes = {"valid_time": t, "lat": lat, "lon": lon, "expver": versions}
+    (tmp_path / "a.nc").write_bytes(netcdf.encoded(sizes, axes | {"t2m": (("lon", "valid_time", "expver", "lat"), v, {"missing_value": np.array([-9.0])}), "land": (("one", "lat", "lon"), np.arange(6, dtype="i2").reshape(1, 2, 3), {})}))
+    (tmp_path / "b.nc").write_bytes(netcdf.encoded({"lat": 2}, {"lat": lat}))
+    got = {(r.time.day, r.expver, r.latitude, r.longitude): (r.temp, r.land) for r in readers.grid_files(spark, str(tmp_path), {"t2m": "temp", "land": "land"}, extra=["expver"]).collect()}
+    want = {(i + 2, e, 0.5 * j, k + 1.0): (None if v[k, i, n, j] == -9 else v[k, i, n, j], 3.0 * j + k) for k in range(3) for i in range(2) for n, e in enumerate((1.0, 5.0)) for j in range(2)}
+    assert got == want
+    with pytest.raises(Exception, match="lies over expver"):
+        readers.grid_files(spark, str(tmp_path), {"t2m": "temp"}).collect()
+
+
 def test_env_variables(spark):
     raw = spark.createDataFrame([(1, 0.0, 0.0, 293.15, 294.15, 7200.0, 0.5)], "time int, latitude double, longitude double, t2m double, d2m double, ssrd double, tcc double")
     row = readers.env_variables(raw).first()
