@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.windows import ranked_values
+
 
 def calendar(df: DataFrame, date: str = "date", by: Sequence[str] = ()) -> DataFrame:
     """Every day from the first to the last of each series."""
@@ -93,9 +95,26 @@ def band_metrics(spectrum: DataFrame, by: Sequence[str], low: int, high: int) ->
     return band.groupBy(*by).agg(F.coalesce(F.sum("_t"), F.lit(0.0)).alias("signed_auc"), F.max(F.abs("rho")).alias("max_abs_rho"), F.avg("rho").alias("mean_rho"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], c: str, q: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Quantiles with linear interpolation."""
-    return df.groupBy(*by).agg(F.percentile(c, F.array(*map(F.lit, q))).alias("_q")).select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+def exact_quantiles(df: DataFrame, by: Sequence[str], c: str, q: Sequence[float], names: Sequence[str], large: bool = False) -> DataFrame:
+    """Quantiles with linear interpolation, NULL for groups without values; NULLs don't count.
+
+    One aggregation, in which a task holds a group's distinct values. ``large`` is the way for groups that no task can hold, with the same result:
+    distinct values are counted and placed by ranks in buckets of their group, and each quantile lies between the two values whose places enclose it.
+    """
+    if not large:
+        return df.groupBy(*by).agg(F.percentile(c, F.array(*map(F.lit, q))).alias("_q")).select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    keyed = df.select(F.struct(*by) if by else F.struct(F.lit(0).alias("_all")), F.col(c).cast("double")).toDF("_key", "_y")
+    values = keyed.groupBy("_key", "_y").agg(F.count(F.lit(1)).alias("_c")).where("_y is not null")
+    ranked = ranked_values(values, ["_key"], ["_key"]).join(values, ["_key", "_y"])
+    last = F.col("_r") + (F.col("_c") - 1) / 2 - 1  # places from 0
+    first = F.col("_r") - (F.col("_c") - 1) / 2 - 1
+    at = [(F.col("_n") - 1) * float(p) for p in q]
+    held = lambda place: F.max(F.when(place.between(first, last), F.col("_y")))
+    found = ranked.groupBy("_key").agg(F.max("_n").alias("_n"), *[f(p).alias(f"_{n}{i}") for i, p in enumerate(at) for n, f in (("lo", lambda p: held(F.floor(p))), ("hi", lambda p: held(F.ceil(p))))])
+    place = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"_lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"_lo{i}") + (p - F.floor(p)) * F.col(f"_hi{i}"))
+    out = found.select("_key", *[place(i, p).alias(n) for i, (p, n) in enumerate(zip(at, names))])
+    groups = keyed.select("_key").distinct() if by else df.sparkSession.range(1).select(F.struct(F.lit(0).alias("_all")).alias("_key"))
+    return groups.join(out, ["_key"], "left").select(*[F.col("_key")[k].alias(k) for k in by], *names)
 
 
 def moments(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:

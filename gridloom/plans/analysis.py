@@ -330,3 +330,23 @@ def _(spark, d):
     out = spark.read.parquet(f"{path}/days")
     last = out.groupBy("date", "event_type").agg(F.max("batch").alias("batch"))
     return out.join(last, ["date", "event_type", "batch"]).select("date", "event_type", r6("mean").alias("mean"), r6("largest").alias("largest"), "n")
+
+
+@query("ST_carried_tail", "WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS key, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1, 2) SELECT key, date, value, round(avg(value) OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 3) AS ma FROM o")
+def _(spark, d):
+    """Trailing means over micro-batches of a year each, with the tail of a key's days carried from batch to batch."""
+    from gridloom.plans.registry import scratch
+    from gridloom.streaming.daily import trailing_mean
+
+    path = scratch(spark, "tails")
+    schema = "key string, date date, value double"
+    days = spark.read.parquet(f"{d}/orders.parquet").groupBy(c("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("date")).agg(r6(F.avg("o_totalprice")).alias("value"))
+    days.withColumn("year", F.year("date")).repartition("year").write.partitionBy("year").parquet(f"{path}/days")
+    years = sorted(r.year for r in spark.read.parquet(f"{path}/days").select("year").distinct().collect())  # a few
+    for year in years:  # one year arrives after the other
+        spark.read.schema(schema).parquet(f"{path}/days/year={year}").coalesce(1).write.mode("append").parquet(f"{path}/arrived")
+        stream = trailing_mean(spark.readStream.schema(schema).parquet(f"{path}/arrived"), "key", 7)
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/means").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    if not years:
+        return spark.createDataFrame([], f"{schema}, ma double")
+    return spark.read.parquet(f"{path}/means").withColumn("ma", F.round("ma", 3))

@@ -104,6 +104,18 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@query("SK6_unfinished_files", "SELECT n_nationkey FROM nation WHERE n_nationkey % 5 <> 0")
+def _(spark, d):
+    """Of every five files one is whole; one is short, one lacks the measure, one has no number in it early, one is missing."""
+    path, work = scratch(spark, "result-files"), table(spark, d, "nation").select("n_nationkey")
+    for (k,) in work.collect():  # 25 nations
+        name, value = ("t_sii", "1.5") if k % 5 != 2 else ("other", "1.5")
+        rows = [value if k % 5 != 3 or i >= 50 else ("nan", "")[i % 2] for i in range(5 if k % 5 == 1 else 400)]
+        if k % 5 != 4:
+            writers.put_bytes(spark, f"{path}/grid_{k}.csv", "\n".join([f"bin,{name}", *(f"Cool,{r}" for r in rows)]).encode())
+    return writers.unfinished_files(work, spark, path, F.concat(F.lit("grid_"), c("n_nationkey"), F.lit(".csv")), "t_sii")
+
+
 @query("SK7_report", "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region")
 def _(spark, d):
     report = writers.markdown(table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), "Regions")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom import config as C
 from gridloom.functions import scalars as S
+from gridloom.operators import aggregates as A
 from gridloom.operators import joins as J
 from gridloom.plans.registry import query, scratch
 from gridloom.plans.standins import BIN_ID, BIN_LABEL, DAILY, POINTS, RESULTS, daily, panel, points, results, table
@@ -81,7 +82,8 @@ def _(spark, d):
 def _(spark, d):
     rows = points(spark, d)
     # Sixteen edges.
-    edges = sorted(set(rows.agg(F.percentile("y", F.array(*[F.lit(i / C.QUANTILE_BINS) for i in range(C.QUANTILE_BINS + 1)]))).first()[0] or [0.0, 0.0]))
+    found = A.exact_quantiles(rows, [], "y", [i / C.QUANTILE_BINS for i in range(C.QUANTILE_BINS + 1)], [f"q{i}" for i in range(C.QUANTILE_BINS + 1)], large=True).first()
+    edges = sorted({e for e in found if e is not None} or {0.0})
     return rows.select("pid", S.bin_id(c("y"), tuple(edges[1:-1])).alias("bin_id"))
 
 

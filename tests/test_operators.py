@@ -363,6 +363,30 @@ def test_reports_and_resume(spark, tmp_path):
         Q.require_columns(df, ["z"], "x")
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_quantiles_of_groups_with_ties_nulls_and_nothing(spark, large):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in (("a", 500), (None, 41), ("one", 1)) for v in rng.integers(-30, 30, n)] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    q, names = [0.0, 0.025, 0.5, 0.9, 1.0], list("uvwxy")
+    got = {r.k: r[1:] for r in A.exact_quantiles(df, ["k"], "v", q, names, large).collect()}
+    assert set(got) == {"a", None, "one", "none"} and got["none"] == (None,) * 5
+    for key in ("a", None, "one"):
+        np.testing.assert_allclose(got[key], np.quantile([v for k, v in rows if k == key and v is not None], q), atol=1e-9)
+    whole = A.exact_quantiles(df, [], "v", q, names, large).collect()
+    np.testing.assert_allclose(whole[0], np.quantile([v for _, v in rows if v is not None], q), atol=1e-9)
+    assert [tuple(r) for r in A.exact_quantiles(df.where("false"), [], "v", q, names, large).collect()] == [(None,) * 5]
+
+
+def test_finished_files(spark, tmp_path):
+    body = lambda name, values: "\r\n".join([f"a,{name}", *(f"x,{v}" for v in values)])
+    whole = ["nan"] * 49 + ["-1e3"] + ["1"] * 400
+    for name, text in (("good", body("t", whole)), ("late", body("t", ["", "nan", "?"] * 17 + whole[50:])), ("short", body("t", [1])), ("other", body("u", whole)), ("ragged", body("t", [1]).replace("x,1", "x") + "\n" * 2000)):
+        (tmp_path / f"{name}.csv").write_text(text)
+    assert [r.path.rsplit("/", 1)[1] for r in writers.finished_files(spark, str(tmp_path), "t").collect()] == ["good.csv"]
+    assert writers.finished_files(spark, str(tmp_path / "none"), "t").count() == 0
+
+
 def test_trailing_mean_carries_its_tail_across_batches(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "key string, date date, value double"
