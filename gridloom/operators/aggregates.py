@@ -39,13 +39,13 @@ def trend_summary(results: DataFrame, by: Sequence[str], rho: str = "rho", p: st
     return results.groupBy(*by).agg(F.avg(rho).alias("mean_rho"), F.median(rho).alias("median_rho"), F.count(scenario).alias("n_scenarios"), (F.avg(significant) * 100).alias("perc_sig"))
 
 
-def profile_summary(profiles: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean and largest |z| of each mode, the feature of the largest (the first in window order), and MA less LAG."""
+def profile_summary(profiles: DataFrame, by: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """Mean and largest |z| of each mode, the feature of the largest (the first in window order, then in that of ``ties``), and MA less LAG."""
     out = []
     z = F.abs(F.when(~F.isnan("z") & (F.abs("z") < float("inf")), F.col("z")))
     for mode in ("MA", "LAG"):
         own = F.when(F.col("mode") == mode, z)
-        out += [F.avg(own).alias(f"auc_abs_z_{mode.lower()}"), F.max(own).alias(f"peak_abs_z_{mode.lower()}"), F.max_by("feature", F.when(own.isNotNull(), F.struct(own, -F.col("window_value")))).alias(f"peak_{mode.lower()}")]
+        out += [F.avg(own).alias(f"auc_abs_z_{mode.lower()}"), F.max(own).alias(f"peak_abs_z_{mode.lower()}"), F.min_by("feature", F.when(own.isNotNull(), F.struct(-own, F.isnull("window_value"), "window_value", *ties))).alias(f"peak_{mode.lower()}")]
     return profiles.groupBy(*by).agg(*out).withColumn("delta_acc", F.col("auc_abs_z_ma") - F.col("auc_abs_z_lag"))
 
 

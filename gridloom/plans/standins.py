@@ -16,6 +16,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Hidden columns of what was read from a table: the order of its rows in the files, for ties that an order leaves open.
+FILE_ORDER = ("_metadata.file_path", "_metadata.row_index")
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return table(spark, d, "lineitem").select(
