@@ -160,7 +160,7 @@ def _(spark, d):
 
 query("S3_largest_days", f"WITH {DAILY} SELECT date, round(sii_max, 6) AS sii_max FROM daily WHERE sii_max IS NOT NULL ORDER BY sii_max DESC, date LIMIT 5")(lambda spark, d: daily(spark, d).where("sii_max is not null").orderBy(c("sii_max").desc(), "date").limit(5).select("date", r6("sii_max").alias("sii_max")))
 query("S4_head", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 5")(lambda spark, d: table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(5))
-query("S5_first_per_key", "SELECT l_orderkey, arg_min(l_linenumber, l_linenumber) AS l_linenumber, arg_min(l_quantity, l_linenumber) AS l_quantity FROM lineitem GROUP BY 1")(lambda spark, d: J.first_per_key(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "l_quantity"))
+query("S5_first_per_key", "SELECT l_orderkey, arg_min(l_linenumber, l_linenumber) AS l_linenumber, arg_min(l_quantity, l_linenumber) AS l_quantity FROM lineitem GROUP BY 1")(lambda spark, d: J.first_per_key(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", *FILE_ORDER]).select("l_orderkey", "l_linenumber", "l_quantity"))
 query("U1_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")(lambda spark, d: table(spark, d, "customer").select(c("c_nationkey").alias("k")).unionByName(table(spark, d, "supplier").select(c("s_nationkey").alias("k"))))
 query("U2_difference", f"WITH {POINTS} SELECT date FROM points EXCEPT SELECT CAST(o_orderdate AS DATE) FROM orders")(lambda spark, d: points(spark, d).select("date").distinct().join(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")), "date", "left_anti"))
 query("U3_product", "SELECT r_name, n_name FROM region, nation")(lambda spark, d: table(spark, d, "nation").select("n_name").crossJoin(F.broadcast(table(spark, d, "region").select("r_name"))))

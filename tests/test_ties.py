@@ -26,6 +26,16 @@ def test_profile_summary_takes_the_first_of_equal_peaks(spark, tmp_path):
     assert by_spark("A10_profile_summary", spark, tmp_path) == by_sql("A10_profile_summary", "part", f"{tmp_path}/part.parquet/*.parquet")
 
 
+def test_first_per_key_takes_the_first_of_equal_lines(spark, tmp_path):
+    # The file that comes first is the smaller one, which Spark reads last.
+    lines = spark.range(2000).select((F.col("id") % 50).alias("l_orderkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"), F.col("id").cast("double").alias("l_quantity"))
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, rows in (("a", lines.where("id < 150")), ("b", lines.where("id >= 150"))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        next((tmp_path / name).glob("part-*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    assert by_spark("S5_first_per_key", spark, tmp_path) == by_sql("S5_first_per_key", "lineitem", f"{tmp_path}/lineitem.parquet/*.parquet")
+
+
 def test_profile_summary_puts_missing_windows_last(spark):
     rows = spark.createDataFrame([("k", "MA", 0.5, None, "none"), ("k", "MA", -0.5, 3, "three"), ("k", "MA", 0.5, 7, "seven"), ("k", "LAG", 0.1, 1, "lag")], "g string, mode string, z double, window_value int, feature string")
     assert A.profile_summary(rows, ["g"]).first().peak_ma == "three"
