@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import uuid
 
@@ -128,6 +129,24 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What this worker holds beyond a task, see ``held``.
+_held: list = []
+
+
+def held(make):
+    """``make``, whose last result the worker keeps beyond a task, until a task of another operator calls ``forget``."""
+    _held.append(functools.lru_cache(maxsize=1)(make))
+    return _held[-1]
+
+
+def forget() -> None:
+    """At the start of a task: drop what other operators have left in this worker, which is used again by all of them."""
+    if any(x.cache_info().currsize for x in _held):
+        for x in _held:
+            x.cache_clear()
+        trim()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and checkpoints of steps that nothing refers to any more."""
     gc.collect()

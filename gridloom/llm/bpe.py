@@ -12,7 +12,6 @@ length; repeated rows are rows of their own; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -23,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gridloom.llm.base import held
+
 #: Fixed value: the pattern that splits text before byte-level merges.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Entries of a worker's memo of merged pre-tokens, emptied when full; symbols merged in one flat array.
@@ -185,7 +186,7 @@ class Encoder:
         return b"".join(map(self.bpe.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=1)
+@held
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this worker, whose memo outlives a task."""
     return Encoder(path)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, drop_table, new_table, release, trim, with_group, written
+from gridloom.llm.base import cut, drop_table, forget, new_table, release, trim, with_group, written
 from gridloom.llm.components import joined
 
 #: Chance that a pair at the threshold shares no band; most coordinates; bits of the sketch; standard deviations it may be off.
@@ -142,6 +142,7 @@ SIGNED = "id long, n_shingles long, digest binary, bands array<long>, " + ", ".j
 
 def _sign(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler = Shingler(k)
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
@@ -163,12 +164,15 @@ def _sign(k: int, bands: int, rows: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler = Shingler(k)
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
                 sets = [shingler.set_of(t).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets]), pa.array(sets)], ["id", "digest", "members"])
+        del shingler
+        trim()
 
     return run
 

@@ -18,7 +18,6 @@ rows are documents of their own; an empty table has no pieces; other columns are
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 import re
 import zlib
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import Memo, cut, trim, written
+from gridloom.llm.base import Memo, cut, held, trim, written
 from gridloom.llm.bpe import byte_alphabet
 
 #: Context sizes, the longest first; tokens of a step group; rests that a task holds before it packs them.
@@ -98,9 +97,9 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
+@held
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker, whose memo outlives a task."""
+    """The encoder of this worker, whose memo outlives a task, but not the operator's stage."""
     return WordEncoder(path)
 
 

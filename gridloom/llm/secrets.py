@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, new_table, with_group, written
+from gridloom.llm.base import cut, forget, new_table, trim, with_group, written
 
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
@@ -54,11 +54,15 @@ LEDGER = "blob binary, rule_version string, n_assign long, n_access long, n_hex
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [find(t) if t else [] for t in batch.column(1).to_pylist()]
-        spans = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in x) for x in found]
-        counts = [pa.array([sum(k == kind for _, k, _ in x) for x in found], pa.int64()) for kind in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([RULE_VERSION] * len(found)), *counts, pa.array([hashlib.sha256(s.encode()).hexdigest() for s in spans]), pa.array(spans)], [c.split()[0] for c in LEDGER.split(", ")])
+    forget()
+    for whole in batches:
+        for i in range(0, whole.num_rows, 512):
+            batch = whole.slice(i, 512)
+            found = [find(t) if t else [] for t in batch.column(1).to_pylist()]
+            spans = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in x) for x in found]
+            counts = [pa.array([sum(k == kind for _, k, _ in x) for x in found], pa.int64()) for kind in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([RULE_VERSION] * len(found)), *counts, pa.array([hashlib.sha256(s.encode()).hexdigest() for s in spans]), pa.array(spans)], [c.split()[0] for c in LEDGER.split(", ")])
+    trim()
 
 
 class BlobLedger:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut
+from gridloom.llm.base import cut, forget, trim
 
 #: Bounds of training, whatever the input.
 TRAIN_ROWS, FEATURES, QUALITY_FEATURES, FOLDS, STEPS, PENALTY = 4000, 768, 256, 5, 240, 0.5
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("low").alias("low")).select("id", "text", "toxic", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
                 b = whole.slice(i, 128)
@@ -230,6 +231,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = ["id", *(f"p_{c}" for c in CATEGORIES), "is_toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         weights, fed, intercept = model.value
         scorer = Scorer(weights)
         for whole in batches:
@@ -252,6 +254,7 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.pandas_udf("boolean")
     def is_toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         weights, fed, intercept = model.value
         scorer = Scorer(weights)  # one for a task, with its memo
         for texts in batches:
@@ -259,5 +262,7 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for j, t in enumerate(texts):
                 sums[j] = scorer.score(t)
             yield pd.Series(predict(sums, fed, intercept)[:, -1].round(6) >= TOXIC_FROM)
+        del scorer
+        trim()
 
     return docs.where(~is_toxic(F.col(text_col)))

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from gridloom.llm import queries, secrets, toxicity
+from gridloom.llm import bpe, minhash, packing, queries, secrets, toxicity
 from tests.llm.test_operators import brute_components, brute_spans, frame, toxic_corpus, varied
 
 TABLE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,3 +105,13 @@ def test_near_duplicates_of_one_text_many_times(spark):
 
     got = near_duplicates(frame(spark, ["same text of some words here"] * 300 + ["another text of some words here"]), 3, Fraction(85, 100)).collect()
     assert {r.component_id for r in got if r.doc_id < 300} == {0} and sum(r.kept for r in got) == 2
+
+
+@pytest.mark.parametrize("task", [minhash._sign(5, 2, 2), minhash._sets(5), secrets._scan])
+def test_a_task_drops_what_other_operators_left_in_its_worker(task):
+    caches = (packing.word_encoder, "word_bpe_49k.json"), (bpe.worker_encoder, "byte_bpe_50k.json")
+    for make, file in caches:
+        make(public_tokenizers.path(file))
+        assert make.cache_info().currsize == 1
+    assert [*task(iter(()))] == []
+    assert [make.cache_info().currsize for make, _ in caches] == [0, 0]
